@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import packing, topk
+from lodestone.llm import mixing, packing, tiff, topk
 
 QUERIES = {
+    "op2_tiff": tiff.op2_tiff,
     "op8_packing": packing.op8_packing,
+    "op9_mixing": mixing.op9_mixing,
     "op10_topk": topk.op10_topk,
 }
 
