@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, packing, tiff, topk
+from lodestone.llm import mixing, packing, tiff, topk, warc
 
 QUERIES = {
     "op2_tiff": tiff.op2_tiff,
+    "op5_warc": warc.op5_warc,
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
     "op10_topk": topk.op10_topk,
 }
 
 ORACLE_SQL = {
+    "op5_warc": warc.SQL,
     "op10_topk": topk.SQL,
 }
