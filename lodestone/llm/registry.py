@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, packing, tiff, topk, warc
+from lodestone.llm import html_text, mixing, packing, tiff, topk, warc
 
 QUERIES = {
     "op2_tiff": tiff.op2_tiff,
     "op5_warc": warc.op5_warc,
+    "op7_html": html_text.op7_html,
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
     "op10_topk": topk.op10_topk,
