@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestone.llm import html_text, mixing, packing, tiff, topk, warc
+from lodestone.llm import html_text, langid, mixing, packing, tiff, topk, warc
 
 QUERIES = {
     "op2_tiff": tiff.op2_tiff,
+    "op3_langid": langid.op3_langid,
     "op5_warc": warc.op5_warc,
     "op7_html": html_text.op7_html,
     "op8_packing": packing.op8_packing,
