@@ -135,21 +135,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star rounds in turn: each node's edges are rewritten to point at the
     smallest neighbour, so that a component of n nodes becomes a star in O(log n) rounds while the
-    number of edges never grows. Only counters reach the driver. Returns node long, root long.
+    number of edges never grows. Both inputs of each join are written tables, so that the edges of a
+    hub can be split over tasks. Only counters reach the driver. Returns node long, root long.
     """
     e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     for _ in range(rounds):
         both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         # large star: every larger neighbour of a node goes to the node's smallest neighbour
         large = e.select(F.col("b").alias("c"), F.col("a").alias("n")).join(low.withColumnRenamed("a", "c"), "c").select(F.col("n").alias("a"), F.col("m").alias("b"))
         large = materialise(large.where("a <> b").distinct(), "large")
         # small star: of a node's smaller neighbours, the smallest takes the node and the others
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         new = materialise(small.where("a <> b").distinct(), "edges")
-        state = "count(*) AS n, coalesce(sum(pmod(xxhash64(a, b), 1000003)), 0) AS h"
-        done = new.selectExpr(state).first() == e.selectExpr(state).first()
+        state = [F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1_000_003))), F.lit(0))]
+        done = tuple(new.agg(*state).first()) == tuple(e.agg(*state).first())
         e = new
         if done:
             break

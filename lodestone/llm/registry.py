@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import html_text, langid, mixing, packing, tiff, topk, warc
+from lodestone.llm import html_text, jaccard, langid, mixing, packing, tiff, topk, warc
 
 QUERIES = {
     "op2_tiff": tiff.op2_tiff,
     "op3_langid": langid.op3_langid,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_warc": warc.op5_warc,
     "op7_html": html_text.op7_html,
     "op8_packing": packing.op8_packing,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_jaccard": jaccard.SQL,
     "op5_warc": warc.SQL,
     "op10_topk": topk.SQL,
 }
