@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.llm import html_text, jaccard, langid, mixing, packing, tiff, topk, warc
+from lodestone.llm import html_text, jaccard, langid, lines, mixing, packing, tiff, topk, warc
 
 QUERIES = {
+    "op1_lines": lines.op1_lines,
     "op2_tiff": tiff.op2_tiff,
     "op3_langid": langid.op3_langid,
     "op4_jaccard": jaccard.op4_jaccard,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_lines": lines.SQL,
     "op4_jaccard": jaccard.SQL,
     "op5_warc": warc.SQL,
     "op10_topk": topk.SQL,
