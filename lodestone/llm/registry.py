@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import html_text, jaccard, langid, lines, mixing, packing, tiff, topk, warc
+from lodestone.llm import html_text, jaccard, langid, lines, mixing, packing, passages, tiff, topk, warc
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_langid": langid.op3_langid,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_warc": warc.op5_warc,
+    "op6_passages": passages.op6_passages,
     "op7_html": html_text.op7_html,
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
