@@ -1,8 +1,61 @@
-"""A corpus pipeline of five stages over the table documents."""
+"""A corpus pipeline of five stages over the table documents.
 
-STAGES = []
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame,
+which is written as Parquet and read again as the next one's docs. All but the last keep the columns.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import jaccard, langid, lines, mixing, packing
+from lodestone.llm.common import materialise, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in a language that was learned. What has no letter, or takes nearly a phrase per character in every language, goes."""
+    found = langid.identify(docs, "text", langid.learn(docs))
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("phrase_rate") <= langid.FOREIGN)).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal and nearly equal lines the first; texts of which no line is left go."""
+    return lines.deduplicate(docs, "doc_id", "text")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the text with the smallest id, once. Rows without an id stay."""
+    classes = jaccard.near_duplicates(docs, "doc_id", "text")
+    kept = materialise(classes.where("doc_id = class_id").select("doc_id").distinct(), "kept")
+    return docs.join(kept, "doc_id").dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionAll(docs.where("doc_id IS NULL"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's share of words asks for."""
+    return mixing.mixed(docs, "doc_id", "source", "text")
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs, "doc_id", "text", packing.word_bpe(packing.vocabulary()))
+
+
+STAGES = [
+    ("language", language),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("mixture", mixture),
+    ("sequences", sequences),
+]
+
+#: The mixture is random and the packing online: SQL can't express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
