@@ -2,39 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import materialise
+
 #: Rows and bytes in an Arrow batch on its way to Python: long texts make rows of 100 KB and more.
 ARROW_ROWS, ARROW_BYTES = 1000, "8m"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set and Spark is local."""
-    set_one = spark.conf.get("spark.checkpoint.dir", None)
-    if set_one:
-        return set_one.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"file://{tempfile.gettempdir()}/lodestone-shared"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    This cuts lineage, survives lost executors, and makes both inputs of a later join plain scans,
-    so that adaptive execution may split a skewed side.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def python_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, as texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -147,7 +147,7 @@ def mixed(docs: DataFrame, doc_id: str, source: str, text: str, seed: int = 1) -
     n, i = free_name(docs, "n_words"), free_name(docs, "copy")
     chosen = mix(docs, doc_id, source, size, seed).where("copies > 0")
     chosen = chosen.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("copies").alias("_c"))
-    kept = docs.withColumn(n, size).alias("l").join(chosen.alias("r"), F.col(f"l.{doc_id}").eqNullSafe(F.col("r._d")) & F.col(f"l.{source}").eqNullSafe(F.col("r._s")) & (F.col(f"l.{n}") == F.col("r._n")))
+    kept = docs.withColumn(n, size).alias("l").hint("merge").join(chosen.alias("r"), F.col(f"l.{doc_id}").eqNullSafe(F.col("r._d")) & F.col(f"l.{source}").eqNullSafe(F.col("r._s")) & (F.col(f"l.{n}") == F.col("r._n")))
     kept = kept.withColumn(i, F.explode(F.sequence(F.lit(1).cast("long"), F.col("r._c"))))
     return kept.select(*[F.col(f"l.`{c}`") for c in docs.columns])
 
