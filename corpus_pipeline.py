@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each class of near duplicates the text with the smallest id, once. Rows without an id stay."""
     classes = jaccard.near_duplicates(docs, "doc_id", "text")
     kept = materialise(classes.where("doc_id = class_id").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionAll(docs.where("doc_id IS NULL"))
+    return docs.hint("merge").join(kept, "doc_id").dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionAll(docs.where("doc_id IS NULL"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
