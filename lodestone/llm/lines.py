@@ -5,7 +5,7 @@ pigeonhole principle, of a line cut into threshold + 1 segments at least one occ
 line within the threshold, near its own place. Segments are indexed under (length, number, content);
 each line probes the indexes of its own and of slightly smaller lengths with the few substrings that
 can match. A join condition on letter counts discards most chance hits before they become rows, and the
-rest is verified with a banded bit-parallel edit distance.
+rest, if enough pieces of the line are unharmed, is verified with a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from lodestone.llm.common import components, free_name, materialise, table
 
 #: Edits; code points from which a line may be near another (shorter ones only equal one).
 THRESHOLD, NEAR_FROM = 2, 20
-#: Letters that the join's filter counts: frequent ones, up to 15 each.
-LETTERS = "etnraiso"
+#: Letters that the join's filter counts: the frequent ones, modulo 16 each; pieces that the last filter looks for.
+LETTERS, PIECES = "etnraisohdlucmgp", 12
 
 
 def segments(length: str, number: int, k: int) -> tuple[str, str]:
@@ -58,14 +58,29 @@ def probe_keys(k: int) -> str:
 
 
 def letter_counts() -> str:
-    """SQL for the counts of LETTERS in a line, four bits each."""
+    """SQL for the counts of LETTERS in a line modulo 16, four bits each."""
     low = "lower(line)"
-    return " + ".join(f"shiftleft(cast(least(15, length({low}) - length(replace({low}, '{c}', ''))) as bigint), {4 * i})" for i, c in enumerate(LETTERS))
+    return " | ".join(f"shiftleft(cast((length({low}) - length(replace({low}, '{c}', ''))) & 15 as bigint), {4 * i})" for i, c in enumerate(LETTERS))
 
 
 def apart(a: str, b: str) -> str:
-    """SQL for the sum of differences of two packed counts: at most two for each edit."""
-    return " + ".join(f"abs((shiftright({a}, {4 * i}) & 15) - (shiftright({b}, {4 * i}) & 15))" for i in range(len(LETTERS)))
+    """SQL for the sum of the differences, around a circle of 16, of two packed counts: at most two for each edit."""
+    terms = []
+    for i in range(len(LETTERS)):
+        d = f"(((shiftright({a}, {4 * i}) & 15) - (shiftright({b}, {4 * i}) & 15)) & 15)"
+        terms.append(f"least({d}, 16 - {d})")
+    return " + ".join(terms)
+
+
+def unharmed(a: str, b: str, k: int) -> str:
+    """SQL for whether b holds all but k of the PIECES of a, each within k of its place: so it is if they are within k edits."""
+    at = lambda i: f"({i} * length({a}) DIV {PIECES})"
+    found = []
+    for i in range(PIECES):
+        size = f"({at(i + 1)} - {at(i)})"
+        low = f"greatest(0, {at(i)} - {k})"
+        found.append(f"IF(instr(substring({b}, {low} + 1, {at(i)} + {size} + {k} - {low}), substring({a}, {at(i)} + 1, {size})) > 0, 1, 0)")
+    return f"({' + '.join(found)}) >= {PIECES - k}"
 
 
 def edit_distance(a: str, b: str, k: int) -> str:
@@ -73,7 +88,7 @@ def edit_distance(a: str, b: str, k: int) -> str:
 
     One word holds the vertical differences of the 2k + 1 cells around the diagonal; each character
     of b moves it a row down. The distance is followed along the band's lower edge until that
-    passes the end of a, and then along a's last row.
+    passes the end of a, and then along a's last row. Once it can't come back to k it stays as it is.
     """
     word, mask = 2 * k + 1, (1 << (2 * k + 1)) - 1
     start = ((1 << (k + 1)) - 1) << k
@@ -91,7 +106,7 @@ def edit_distance(a: str, b: str, k: int) -> str:
     # the word's initial bits: +1 for each row from 1 on
     return f"""transform(array(named_struct('a', {chars(a)}, 'b', {chars(b)})), t ->
       aggregate(IF(size(t.b) = 0, cast(array() as array<int>), sequence(1, size(t.b))),
-        named_struct('vp', {start}, 'vn', 0, 'far', least({k}, size(t.a))), (s, j) -> {step}, s -> s.far))[0]"""
+        named_struct('vp', {start}, 'vn', 0, 'far', least({k}, size(t.a))), (s, j) -> IF(s.far > {2 * k} + size(t.b) - size(t.a), s, {step}), s -> s.far))[0]"""
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -110,7 +125,7 @@ def edit_links(lines: DataFrame, k: int = THRESHOLD, near_from: int = NEAR_FROM)
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = materialise(lines.select("id", "line").join(materialise(ids, "ids"), "id", "left_semi"), "wanted")
     x, y = wanted.select(F.col("id").alias("a"), F.col("line").alias("x")), wanted.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    return pairs.join(x, "a").join(y, "b").where(F.expr(f"{edit_distance('x', 'y', k)} <= {k}")).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").where(F.expr(f"IF({unharmed('x', 'y', k)}, {edit_distance('x', 'y', k)}, {k + 1}) <= {k}")).select("a", "b")
 
 
 def line_classes(docs: DataFrame, doc_id: str, text: str, k: int = THRESHOLD, near_from: int = NEAR_FROM) -> DataFrame:
@@ -143,12 +158,12 @@ def deduplicate(docs: DataFrame, doc_id: str, text: str, k: int = THRESHOLD, nea
     if there is one, follows the text.
     """
     spare = line_classes(docs, doc_id, text, k, near_from).where("NOT kept").distinct()
-    spare = materialise(spare.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_list("line_no").alias("_drop")), "spare")
-    left, gone = free_name(docs, "lines_left"), free_name(docs, "lines_all")
-    rows = docs.join(spare, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left")
+    key, mark, drop, left, gone = (free_name(docs, f"dedup_{n}") for n in ("id", "hash", "drop", "left", "all"))
+    spare = materialise(spare.groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(mark)).agg(F.collect_list("line_no").alias(drop)), "spare")
+    rows = docs.hint("merge").join(spare, F.col(doc_id).eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(mark)), "left")
     rows = rows.withColumn(gone, F.split(F.col(text), "\n"))
-    index = F.array_except(F.sequence(F.lit(0), F.size(gone) - 1), F.col("_drop"))
-    rows = rows.withColumn(left, F.when(F.col("_drop").isNotNull(), F.transform(index, lambda i: F.get(F.col(gone), i))))
+    index = F.array_except(F.sequence(F.lit(0), F.size(gone) - 1), F.col(drop))
+    rows = rows.withColumn(left, F.when(F.col(drop).isNotNull(), F.transform(index, lambda i: F.get(F.col(gone), i))))
     rows = rows.where(F.col(left).isNull() | F.exists(left, lambda x: F.length(F.trim(x)) > 0))
     new = F.coalesce(F.array_join(left, "\n"), F.col(text))
     return rows.select(*[new.alias(c) if c == text else F.when(F.col(left).isNull(), F.col(c)).otherwise(F.length(new).cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

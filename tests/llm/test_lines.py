@@ -77,3 +77,8 @@ def test_classes(spark):
 def test_main_path_is_native(spark, sf_dir):
     plan = lines.op1_lines(spark, sf_dir)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_clashing_names(spark):
+    df = odd(spark).withColumnsRenamed({"line_no": "dedup_id", "kept": "dedup_drop"})
+    assert lines.deduplicate(df, "doc_id", "text").columns == df.columns
