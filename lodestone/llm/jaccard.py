@@ -282,7 +282,8 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, threshold: float =
             same = pa.array([len(g) > 0 and set_hash(g) == i for g, i in zip(found, batch.column("set_id").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("root", "set_id", "copies", "n")], pa.array([g.tobytes() for g in found], pa.binary())], ["root", "set_id", "copies", "n", "grams"]).filter(same)
 
-    fetched = live.join(active, "doc_id").select("root", "set_id", "copies", "n", "text").mapInArrow(grams, "root long, set_id long, copies long, n long, grams binary")
+    # merged at every size: a broadcast that small inputs would get says nothing about large ones
+    fetched = live.hint("merge").join(active, "doc_id").select("root", "set_id", "copies", "n", "text").mapInArrow(grams, "root long, set_id long, copies long, n long, grams binary")
     pairs = _in_blocks(fetched, "n", BLOCK // 2).select("root", "pair", "side", "set_id", "copies", "grams").repartition("root", "pair").sortWithinPartitions("root", "pair")
     exact = materialise(pairs.mapInArrow(_compare_sets(threshold), "kind long, x long, y long"), "exact")
 
