@@ -20,6 +20,15 @@ def python_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Delete the shuffle files of queries that have ended.
+
+    Spark deletes them when the driver's JVM collects their plans, which may be far off on a large driver;
+    asking for a collection after a table is written keeps a text-sized shuffle from lying beside the next one.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

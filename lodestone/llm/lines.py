@@ -13,12 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, free_name, materialise, table
+from lodestone.llm.common import components, free_name, materialise, release_shuffles, table
 
 #: Edits; code points from which a line may be near another (shorter ones only equal one).
 THRESHOLD, NEAR_FROM = 2, 20
 #: Letters that the join's filter counts: the frequent ones, modulo 16 each; pieces that the last filter looks for.
-LETTERS, PIECES = "etnraisohdlucmgp", 12
+LETTERS, PIECES = "etnraisohd", 12
 
 
 def segments(length: str, number: int, k: int) -> tuple[str, str]:
@@ -43,7 +43,7 @@ def probe_keys(k: int) -> str:
     """SQL for (key, shorter) structs: the substrings that can match a segment of a line that is shorter by 0 to k.
 
     Of the shifts of segment i, those are left out that more edits before it, or after it, would need
-    than another segment's match leaves over.
+    than another segment's match leaves over. In lines of 2k + 1 code points or more all lie inside.
     """
     keys = []
     for shorter in range(k + 1):
@@ -51,16 +51,13 @@ def probe_keys(k: int) -> str:
             low, high = max(-i, shorter - (k - i)), min(i, shorter + (k - i))
             for shift in range(low, high + 1):
                 start, size = segments(f"(n - {shorter})", i, k)
-                at = f"{start} + ({shift})"
-                inside = f"{at} >= 1 AND {at} + {size} - 1 <= n"
-                keys.append(f"IF({inside}, named_struct('key', xxhash64(n - {shorter}, {i}, substring(line, {at}, {size})), 'shorter', {shorter}), NULL)")
-    return f"filter(array({', '.join(keys)}), x -> x IS NOT NULL)"
+                keys.append(f"named_struct('key', xxhash64(n - {shorter}, {i}, substring(line, {start} + ({shift}), {size})), 'shorter', {shorter})")
+    return f"array({', '.join(keys)})"
 
 
 def letter_counts() -> str:
     """SQL for the counts of LETTERS in a line modulo 16, four bits each."""
-    low = "lower(line)"
-    return " | ".join(f"shiftleft(cast((length({low}) - length(replace({low}, '{c}', ''))) & 15 as bigint), {4 * i})" for i, c in enumerate(LETTERS))
+    return " | ".join(f"shiftleft(cast((length(line) - length(replace(line, '{c}', ''))) & 15 as bigint), {4 * i})" for i, c in enumerate(LETTERS))
 
 
 def apart(a: str, b: str) -> str:
@@ -116,12 +113,16 @@ def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def edit_links(lines: DataFrame, k: int = THRESHOLD, near_from: int = NEAR_FROM) -> DataFrame:
-    """Pairs (a, b) of ids of lines (id long, line string, both distinct) of near_from code points at least that are within k edits."""
-    long = lines.where(F.length("line") >= near_from).selectExpr("id", "line", "length(line) AS n", f"{letter_counts()} AS counts")
+    """Pairs (a, b) of ids of lines (id long, line string, both distinct) of near_from code points at least that are within k edits. A column counts spares their counting."""
+    if near_from < 2 * k + 1:
+        raise ValueError("near_from must be 2k + 1 at least")
+    counts = "counts" if "counts" in lines.columns else f"{letter_counts()} AS counts"
+    long = lines.where(F.length("line") >= near_from).selectExpr("id", "line", "length(line) AS n", counts)
     own = long.select("id", "counts", F.explode(F.expr(index_keys(k))).alias("key"))
     asked = long.select(F.col("id").alias("other"), F.col("counts").alias("other_counts"), F.explode(F.expr(probe_keys(k))).alias("p")).select("other", "other_counts", F.col("p.key").alias("key"), F.col("p.shorter").alias("shorter"))
     meet = own.join(asked, (own.key == asked.key) & F.expr(f"IF(shorter = 0, id < other, id <> other) AND {apart('counts', 'other_counts')} <= {2 * k}"))
     pairs = materialise(meet.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
+    release_shuffles(lines.sparkSession)  # of all keys
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = materialise(lines.select("id", "line").join(materialise(ids, "ids"), "id", "left_semi"), "wanted")
     x, y = wanted.select(F.col("id").alias("a"), F.col("line").alias("x")), wanted.select(F.col("id").alias("b"), F.col("line").alias("y"))
@@ -139,7 +140,8 @@ def line_classes(docs: DataFrame, doc_id: str, text: str, k: int = THRESHOLD, ne
     """
     seen = occurrences(docs, doc_id, text)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash", "line_no")
-    lines = materialise(seen.groupBy("id").agg(F.min(place).alias("first"), F.first("line").alias("line")), "lines")
+    lines = materialise(seen.groupBy("id").agg(F.min(place).alias("first"), F.first("line").alias("line")).selectExpr("*", f"{letter_counts()} AS counts"), "lines")
+    release_shuffles(docs.sparkSession)  # of all texts, cut to lines
     roots = materialise(components(edit_links(lines, k, near_from)), "roots")
     firsts = lines.select("id", "first")
     joined = roots.join(firsts, roots.node == firsts.id)
