@@ -41,7 +41,7 @@ class _Chunks(dict):
         self.model = self.tokenizer.model
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall  # fixed value: the vocabulary file's own pattern
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytes = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(33, 256) if not chr(i).isspace()}
+        self.bytes = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(256) if not chr(i).isspace()}
         self.words: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:

@@ -81,3 +81,11 @@ def test_levels_are_chosen_by_least_sum_of_squares(seed):
         assert int((packer.count**2).sum()) == min(options.values())
     packer.finish(0)
     assert sum(len(p[2]) for w in closed for p in w) % 4 == 0
+
+
+def test_ids_of_every_latin_1_character():
+    """Control characters have ids as well: alone, between letters, after white space and doubled."""
+    encode, whole = packing.word_bpe(packing.vocabulary()), Tokenizer.from_file(packing.vocabulary())
+    for c in map(chr, range(256)):
+        for text in (c, f"a{c}b", f"x {c}[0m red", f"{c}{c} {c}1"):
+            assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
