@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.shared import materialise
+from lodestone.sources.shared import discard, materialise
 
 #: Rows and bytes in an Arrow batch on its way to Python: long texts make rows of 100 KB and more.
 ARROW_ROWS, ARROW_BYTES = 1000, "8m"
@@ -20,15 +20,6 @@ def python_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Delete the shuffle files of queries that have ended.
-
-    Spark deletes them when the driver's JVM collects their plans, which may be far off on a large driver;
-    asking for a collection after a table is written keeps a text-sized shuffle from lying beside the next one.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
@@ -139,6 +130,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         new = materialise(small.where("a <> b").distinct(), "edges")
         state = [F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1_000_003))), F.lit(0))]
         done = tuple(new.agg(*state).first()) == tuple(e.agg(*state).first())
+        discard(e, low, large, least)
         e = new
         if done:
             break

@@ -4,7 +4,8 @@ Lines within THRESHOLD edits form classes; of each class the first line in the c
 pigeonhole principle, of a line cut into threshold + 1 segments at least one occurs unharmed in any
 line within the threshold, near its own place. Segments are indexed under (length, number, content);
 each line probes the indexes of its own and of slightly smaller lengths with the few substrings that
-can match. A join condition on letter counts discards most chance hits before they become rows, and the
+can match. Semi-joins first tell which lines share a key at all, however many do. Only for these are letters
+counted; a join condition on the counts discards most chance hits before they become rows, and the
 rest, if enough pieces of the line are unharmed, is verified with a banded bit-parallel edit distance.
 """
 
@@ -13,46 +14,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, free_name, materialise, release_shuffles, table
+from lodestone.llm.common import components, discard, free_name, materialise, table
 
 #: Edits; code points from which a line may be near another (shorter ones only equal one).
-THRESHOLD, NEAR_FROM = 2, 20
+THRESHOLD, NEAR_FROM = 2, 5
 #: Letters that the join's filter counts: the frequent ones, modulo 16 each; pieces that the last filter looks for.
 LETTERS, PIECES = "etnraisohd", 12
 
 
-def segments(length: str, number: int, k: int) -> tuple[str, str]:
+def segments(length: str, number: str, k: int) -> tuple[str, str]:
     """SQL for a segment's start (from 1) and length; numbers count from 0. The last segments take the remainder."""
     rest = f"pmod({length}, {k + 1})"
     base = f"({length} DIV {k + 1})"
-    early = k + 1 - number  # segments from this one on
-    start = f"(1 + {number} * {base} + greatest(0, {rest} - {early}))"
-    return start, f"({base} + IF({rest} >= {early}, 1, 0))"
+    early = f"({k + 1} - {number})"  # segments from this one on
+    start = f"cast(1 + {number} * {base} + greatest(0, {rest} - {early}) as int)"
+    return start, f"cast({base} + IF({rest} >= {early}, 1, 0) as int)"
 
 
-def index_keys(k: int) -> str:
-    """SQL for the keys of a line's own segments."""
-    keys = []
-    for i in range(k + 1):
-        start, size = segments("n", i, k)
-        keys.append(f"xxhash64(n, {i}, substring(line, {start}, {size}))")
-    return f"array({', '.join(keys)})"
-
-
-def probe_keys(k: int) -> str:
-    """SQL for (key, shorter) structs: the substrings that can match a segment of a line that is shorter by 0 to k.
+def probes(k: int) -> list[tuple[int, int, int]]:
+    """(shorter, number, shift) of the substrings that can match a segment of a line that is shorter by 0 to k.
 
     Of the shifts of segment i, those are left out that more edits before it, or after it, would need
     than another segment's match leaves over. In lines of 2k + 1 code points or more all lie inside.
     """
-    keys = []
-    for shorter in range(k + 1):
-        for i in range(k + 1):
-            low, high = max(-i, shorter - (k - i)), min(i, shorter + (k - i))
-            for shift in range(low, high + 1):
-                start, size = segments(f"(n - {shorter})", i, k)
-                keys.append(f"named_struct('key', xxhash64(n - {shorter}, {i}, substring(line, {start} + ({shift}), {size})), 'shorter', {shorter})")
-    return f"array({', '.join(keys)})"
+    return [(shorter, i, shift) for shorter in range(k + 1) for i in range(k + 1) for shift in range(max(-i, shorter - (k - i)), min(i, shorter + (k - i)) + 1)]
+
+
+def keyed(lines: DataFrame, combos: list[tuple[int, int, int]], k: int) -> DataFrame:
+    """(key, row) for each line and combination: a hash of a length, a segment's number and a substring."""
+    listed = ", ".join(f"named_struct('less', {a}, 'i', {b}, 'shift', {c})" for a, b, c in combos)
+    start, size = segments("(n - c.less)", "c.i", k)
+    return lines.select("row", "line", F.length("line").alias("n"), F.explode(F.expr(f"array({listed})")).alias("c")).selectExpr(f"xxhash64(n - c.less, c.i, substring(line, {start} + c.shift, {size})) AS key", "row")
 
 
 def letter_counts() -> str:
@@ -107,26 +99,30 @@ def edit_distance(a: str, b: str, k: int) -> str:
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """A row per line that isn't blank: doc_id, text_hash, line_no (from 0), id (a hash of the line), line."""
+    """A row per line that isn't blank: doc_id, text_hash, line_no (from 0), h1 and h2 (128 bits of a hash of the line), line."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    return rows.where(F.length(F.trim("line")) > 0).withColumn("id", F.xxhash64("line"))
+    return rows.where(F.length(F.trim("line")) > 0).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
 def edit_links(lines: DataFrame, k: int = THRESHOLD, near_from: int = NEAR_FROM) -> DataFrame:
-    """Pairs (a, b) of ids of lines (id long, line string, both distinct) of near_from code points at least that are within k edits. A column counts spares their counting."""
+    """Pairs (a, b) of rows of lines (row long, line string, both distinct) of near_from code points at least that are within k edits."""
     if near_from < 2 * k + 1:
         raise ValueError("near_from must be 2k + 1 at least")
-    counts = "counts" if "counts" in lines.columns else f"{letter_counts()} AS counts"
-    long = lines.where(F.length("line") >= near_from).selectExpr("id", "line", "length(line) AS n", counts)
-    own = long.select("id", "counts", F.explode(F.expr(index_keys(k))).alias("key"))
-    asked = long.select(F.col("id").alias("other"), F.col("counts").alias("other_counts"), F.explode(F.expr(probe_keys(k))).alias("p")).select("other", "other_counts", F.col("p.key").alias("key"), F.col("p.shorter").alias("shorter"))
-    meet = own.join(asked, (own.key == asked.key) & F.expr(f"IF(shorter = 0, id < other, id <> other) AND {apart('counts', 'other_counts')} <= {2 * k}"))
-    pairs = materialise(meet.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
-    release_shuffles(lines.sparkSession)  # of all keys
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = materialise(lines.select("id", "line").join(materialise(ids, "ids"), "id", "left_semi"), "wanted")
-    x, y = wanted.select(F.col("id").alias("a"), F.col("line").alias("x")), wanted.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    return pairs.join(x, "a").join(y, "b").where(F.expr(f"IF({unharmed('x', 'y', k)}, {edit_distance('x', 'y', k)}, {k + 1}) <= {k}")).select("a", "b")
+    long = lines.where(F.length("line") >= near_from).select("row", "line")
+    own = keyed(long, [(0, i, 0) for i in range(k + 1)], k).withColumnRenamed("row", "own")
+    asked = materialise(keyed(long, probes(k), k).alias("x").join(own.alias("y"), F.expr("x.key = y.key AND x.row <> y.own"), "left_semi"), "asked")
+    own = materialise(own.join(asked.select("key").distinct(), "key", "left_semi"), "own")
+    ids = asked.select("row").unionAll(own.select("own")).distinct()
+    wanted = materialise(long.join(ids, "row", "left_semi").selectExpr("row", "line", f"{letter_counts()} AS counts"), "wanted")
+    x = own.join(wanted.selectExpr("row AS own", "counts"), "own")
+    y = asked.join(wanted.selectExpr("row", "counts AS asked_counts"), "row")
+    meet = x.join(y, (x.key == y.key) & F.expr(f"own <> row AND {apart('counts', 'asked_counts')} <= {2 * k}"))
+    pairs = materialise(meet.select(F.least("own", "row").alias("a"), F.greatest("own", "row").alias("b")).distinct(), "pairs")
+    x, y = F.expr("IF(length(x) <= length(y), x, y)"), F.expr("IF(length(x) <= length(y), y, x)")
+    both = pairs.join(wanted.selectExpr("row AS a", "line AS x"), "a").join(wanted.selectExpr("row AS b", "line AS y"), "b").select("a", "b", x.alias("x"), y.alias("y"))
+    links = materialise(both.where(F.expr(f"IF({unharmed('x', 'y', k)}, {edit_distance('x', 'y', k)}, {k + 1}) <= {k}")).select("a", "b"), "links")
+    discard(asked, own, wanted, pairs)
+    return links
 
 
 def line_classes(docs: DataFrame, doc_id: str, text: str, k: int = THRESHOLD, near_from: int = NEAR_FROM) -> DataFrame:
@@ -135,20 +131,23 @@ def line_classes(docs: DataFrame, doc_id: str, text: str, k: int = THRESHOLD, ne
     Classes: lines connected by links of at most k edits between lines of near_from code points or
     more; shorter lines are in a class with equal ones. First: by id (null last), then by a hash
     of the text (for repeated ids), then by number. Null and empty texts have no lines; repeated rows
-    count as one. Lines are told apart by a 64-bit hash; extra columns are left out.
+    count as one. Lines are told apart by a 128-bit hash; extra columns are left out.
     Returns doc_id, text_hash, line_no, first_doc_id, first_text_hash, first_line_no, kept.
     """
     seen = occurrences(docs, doc_id, text)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash", "line_no")
-    lines = materialise(seen.groupBy("id").agg(F.min(place).alias("first"), F.first("line").alias("line")).selectExpr("*", f"{letter_counts()} AS counts"), "lines")
-    release_shuffles(docs.sparkSession)  # of all texts, cut to lines
-    roots = materialise(components(edit_links(lines, k, near_from)), "roots")
-    firsts = lines.select("id", "first")
-    joined = roots.join(firsts, roots.node == firsts.id)
+    lines = seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("line").alias("line"))
+    lines = materialise(lines.withColumn("row", F.monotonically_increasing_id()), "lines")
+    links = edit_links(lines, k, near_from)
+    firsts = materialise(lines.select("h1", "h2", "first", "row"), "firsts")
+    discard(lines)
+    roots = materialise(components(links), "roots")
+    joined = roots.join(firsts, roots.node == firsts.row)
     low = materialise(joined.groupBy("root").agg(F.min("first").alias("low")), "low")
-    near = materialise(roots.join(low, "root").select(F.col("node").alias("id"), "low"), "near")
-    info = materialise(firsts.join(near, "id", "left").select("id", F.coalesce("low", "first").alias("first")), "info")
-    out = seen.drop("line").join(info, "id")
+    near = materialise(roots.join(low, "root").select(F.col("node").alias("row"), "low"), "near")
+    info = materialise(firsts.join(near, "row", "left").select("h1", "h2", F.coalesce("low", "first").alias("first")), "info")
+    discard(links, roots, firsts, low, near)
+    out = seen.drop("line").join(info, ["h1", "h2"])
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("line_no") == F.col("first.line_no"))
     return out.select("doc_id", "text_hash", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_hash").alias("first_text_hash"), F.col("first.line_no").alias("first_line_no"), same.alias("kept"))
 

@@ -45,12 +45,12 @@ def test_links_equal_brute_force(spark, k):
         base = "".join(rng.choices("abcdef ", k=rng.randint(6, 40)))
         texts.update(edited(rng, base, 3) for _ in range(6))
     rows = list(enumerate(sorted(texts)))
-    found = {tuple(sorted(r)) for r in lines.edit_links(spark.createDataFrame(rows, "id long, line string"), k, 5).collect()}
+    found = {tuple(sorted(r)) for r in lines.edit_links(spark.createDataFrame(rows, "row long, line string"), k, 5).collect()}
     assert found == {(i, j) for i, a in rows for j, b in rows if i < j and min(len(a), len(b)) >= 5 and distance(a, b) <= k}
 
 
 LONG = "this is a line of some length, with words"
-ODD = [(1, f"{LONG}\n\nshort\n{LONG}!"), (2, f"short\n{LONG.replace('some', 'sone')}\nnew"), (3, f"{LONG}\nshort"), (4, None), (5, ""), (6, "\n \n"), (None, "short"), (7, "x" * 30_000), (7, "x" * 30_000), (8, "x" * 29_999 + "y\nsharp")]
+ODD = [(1, f"{LONG}\n\nshort\n{LONG}!"), (2, f"short\n{LONG.replace('some', 'sone')}\nnew"), (3, f"{LONG}\nshort"), (4, None), (5, ""), (6, "\n \n"), (None, "short"), (7, "x" * 30_000), (7, "x" * 30_000), (8, "x" * 29_999 + "y\nsharply")]
 
 
 def odd(spark):
@@ -61,7 +61,7 @@ def test_deduplicated_texts(spark):
     df = odd(spark)
     found = lines.deduplicate(df, "doc_id", "text")
     assert found.columns == df.columns
-    expected = [(0, ""), (1, f"{LONG}\n\nshort"), (2, "new"), (4, ""), (5, ""), (6, "\n \n"), (7, "x" * 30_000), (7, "x" * 30_000), (8, "sharp")]
+    expected = [(0, ""), (1, f"{LONG}\n\nshort"), (2, "new"), (4, ""), (5, ""), (6, "\n \n"), (7, "x" * 30_000), (7, "x" * 30_000), (8, "sharply")]
     rows = sorted((r.doc_id or 0, r.text or "") for r in found.collect())
     assert rows == expected[1:]
     assert all(r.n_chars == len(r.text or "") for r in found.collect())
@@ -82,3 +82,16 @@ def test_main_path_is_native(spark, sf_dir):
 def test_clashing_names(spark):
     df = odd(spark).withColumnsRenamed({"line_no": "dedup_id", "kept": "dedup_drop"})
     assert lines.deduplicate(df, "doc_id", "text").columns == df.columns
+
+
+def test_short_lines(spark):
+    """Lines of 2k + 1 code points are near others; shorter ones only equal."""
+    df = spark.createDataFrame([(1, "abcde\nabcd"), (2, "abcxy\nabxy\nabcd")], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in lines.deduplicate(df, "doc_id", "text").collect()} == {(1, "abcde\nabcd"), (2, "abxy")}
+
+
+def test_a_shared_segment_makes_no_pairs_of_unlike_lines(spark):
+    rng = random.Random(3)
+    rows = [(i, "the same start of every line, " + "".join(rng.choices("abcdefghij ", k=60))) for i in range(300)]
+    rows.append((300, rows[0][1][:-1] + "!"))
+    assert [tuple(r) for r in lines.edit_links(spark.createDataFrame(rows, "row long, line string")).collect()] == [(0, 300)]

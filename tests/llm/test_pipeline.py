@@ -7,7 +7,7 @@ from tests.llm.test_jaccard import brute
 from tests.llm.test_lines import distance
 
 
-def first_lines(texts, k=2, near_from=20):
+def first_lines(texts, k=2, near_from=5):
     """{id: text} with the first line of each class, by brute force; None if none is left."""
     place = {}
     for key in sorted(texts):
