@@ -71,43 +71,48 @@ def packbits_decode(data: bytes) -> bytes:
 
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first, widened one code early."""
-    codes: dict[bytes, int] = {bytes((i,)): i for i in range(256)}
-    bits, held, out = 9, 0, bytearray()
-    filled = 0
+    codes: dict[int, int] = {}  # of a known string's code and the byte after it
+    out, held, filled, bits, following = bytearray(), 256, 9, 9, 258
+    prefix = -1
 
-    def put(code: int) -> None:
+    def drained() -> None:
         nonlocal held, filled
-        held = held << bits | code
-        filled += bits
-        while filled >= 8:
-            filled -= 8
-            out.append(held >> filled & 255)
-        held &= (1 << filled) - 1
-
-    put(256)
-    following, prefix = 258, b""
-    for i in range(len(data)):
-        longer = prefix + data[i : i + 1]
-        if longer in codes:
-            prefix = longer
+        rest = filled & 7
+        out.extend((held >> rest).to_bytes(filled >> 3, "big"))
+        held, filled = held & ((1 << rest) - 1), rest
+
+    for byte in data:
+        if prefix < 0:
+            prefix = byte
+            continue
+        pair = prefix << 8 | byte
+        if (known := codes.get(pair)) is not None:
+            prefix = known
             continue
-        put(codes[prefix])
-        codes[longer] = following
+        held = held << bits | prefix
+        filled += bits
+        codes[pair] = following
         following += 1
         if following == 4095:
-            put(256)
-            codes = {bytes((j,)): j for j in range(256)}
+            held = held << bits | 256
+            filled += bits
+            codes.clear()
             bits, following = 9, 258
         elif following + 1 > 1 << bits:
             bits += 1
-        prefix = data[i : i + 1]
-    if prefix:
-        put(codes[prefix])
+        if filled >= 512:
+            drained()
+        prefix = byte
+    if prefix >= 0:
+        held = held << bits | prefix
+        filled += bits
         if following + 2 > 1 << bits and bits < 12:
             bits += 1
-    put(257)
-    if filled:
-        out.append(held << (8 - filled) & 255)
+    held = held << bits | 257
+    filled += bits
+    held <<= -filled % 8
+    filled += -filled % 8
+    drained()
     return bytes(out)
 
 
@@ -334,13 +339,12 @@ def payload_of(text: str | None) -> bytes:
 def as_tiff(payload: bytes) -> bytes:
     """Pages of up to PAGE_ROWS rows of 64 RGB pixels; the payload's checksum picks the form, so that every codec is used.
 
-    Most are deflate with a predictor, in strips or tiles. LZW, whose coder is not native, gets up
-    to 64 KB.
+    Most are deflate with a predictor, in strips or tiles.
     """
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ACROSS, UNIT // ACROSS)
     pages = [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)]
     form = zlib.crc32(payload) % 8
-    if form == 0 and len(payload) <= 1 << 16:
+    if form == 0:
         return write_tiff(pages, LZW, 1 + (len(payload) // UNIT) % 2)
     if form == 1:
         return write_tiff(pages, PACKBITS)
@@ -349,52 +353,33 @@ def as_tiff(payload: bytes) -> bytes:
     return write_tiff(pages, DEFLATE, 2 if form % 2 else 1, 64 if form in (3, 4) else None)
 
 
-def feature_of(pixels: np.ndarray) -> str:
-    """Height, mean of each sample, and how many of the 256 values occur."""
-    means = pixels.reshape(-1, UNIT // ACROSS).mean(axis=0)
-    return f"{len(pixels)}:{','.join(f'{m:.3f}' for m in means)}:{np.count_nonzero(np.bincount(pixels.ravel(), minlength=256))}"
+def digested(text: str | None) -> tuple:
+    """Store a text's payload as a TIFF file, walk the stored bytes again, and return what op2_tiff says of both."""
+    payload = payload_of(text)
+    size, stored = len((text or "").encode()), as_tiff(payload)
+    del payload
+    sha, n, tail, height, sums, seen = hashlib.sha256(), 0, b"", 0, np.zeros(UNIT // ACROSS), np.zeros(256, bool)
+    for page in pages_of(stored):
+        if page["error"] is not None:
+            raise ValueError(f"a file that was written here can't be read: {page['error']}")
+        pixels = np.frombuffer(page["pixels"], np.uint8)
+        sha.update(pixels)
+        n, tail, height = n + len(pixels), page["pixels"][-16:], height + page["height"]
+        sums += pixels.reshape(-1, UNIT // ACROSS).sum(axis=0, dtype=np.int64)
+        seen |= np.bincount(pixels, minlength=256) > 0
+    feature = f"{height}:{','.join(f'{m:.3f}' for m in sums / (height * ACROSS))}:{np.count_nonzero(seen)}"
+    return size, n, sha.hexdigest(), zlib.crc32(tail), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
 
 def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    python_batches(spark)
+    """A file is written, read back page by page and digested before the next one: a task holds one at a time, and one Python worker."""
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            files = [as_tiff(payload_of(t)) for t in texts]
-            sizes = [len((t or "").encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([len(f) for f in files], pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in files]), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media_bytes", "media_sha256", "image"])
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Fold the pages of a document, which follow each other, into its digests."""
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        held: list = []
-
-        def ended() -> tuple:
-            (doc_id, n_bytes, media_bytes, media_sha256), parts = held[0], held[1:]
-            payload = b"".join(parts)
-            return doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), media_bytes, media_sha256, feature_of(np.frombuffer(payload, np.uint8).reshape(-1, ACROSS, UNIT // ACROSS))
+            columns = zip(*[digested(t.as_py()) for t in batch.column("text")], strict=True) if batch.num_rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["doc_id", *names])
 
-        def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                page = row["page"]
-                if page["error"] is not None:
-                    raise ValueError(f"a file that was written here can't be read: {page['error']}")
-                if page["number"] == 0:
-                    if held:
-                        out.append(ended())
-                    held = [(row["doc_id"], row["n_bytes"], row["media_bytes"], row["media_sha256"])]
-                held.append(page["pixels"])
-            if out:
-                yield batch_of(out)
-        if held:
-            yield batch_of([ended()])
-
-    stored = docs.mapInArrow(store, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, image binary")
-    return read_tiff(stored, "image").mapInArrow(digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    python_batches(spark)
+    return table(spark, sf_dir, "documents", "doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -79,3 +79,18 @@ def test_long_payload_has_many_pages():
     payload = tiff.payload_of("word " * 700_000)
     pages = list(tiff.pages_of(tiff.as_tiff(payload)))
     assert len(pages) == 3 and b"".join(p["pixels"] for p in pages) == payload
+
+
+def test_lzw_at_every_size():
+    """The checksum alone picks the form: LZW on both sides of 64 KB."""
+    for start in (100, 70_000, 300_000):
+        payload = next(p for p in (tiff.payload_of("x y" * start + str(i)) for i in range(100)) if zlib.crc32(p) % 8 == 0)
+        assert next(tiff.directories(tiff.as_tiff(payload)))[tiff.COMPRESSION] == (tiff.LZW,)
+        assert b"".join(p["pixels"] for p in tiff.pages_of(tiff.as_tiff(payload))) == payload
+
+
+def test_null_and_repeated_rows(spark, tmp_path):
+    spark.createDataFrame([(1, None, 0), (1, None, 0), (None, "", 1), (2, "é" * 500_000, 2)], "doc_id long, text string, n_bytes int").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((r.doc_id or 0, r.n_bytes, r.payload_bytes, r.payload_sha256) for r in tiff.op2_tiff(spark, str(tmp_path)).collect())
+    empty = hashlib.sha256(b" " * 192).hexdigest()
+    assert [f[:3] for f in found] == [(0, 0, 192), (1, 0, 192), (1, 0, 192), (2, 1_000_000, 1_000_128)] and found[0][3] == found[1][3] == empty
