@@ -7,6 +7,7 @@ each line probes the indexes of its own and of slightly smaller lengths with the
 can match. Semi-joins first tell which lines share a key at all, however many do. Only for these are letters
 counted; a join condition on the counts discards most chance hits before they become rows, and the
 rest, if enough pieces of the line are unharmed, is verified with a banded bit-parallel edit distance.
+Lines of a dense group are linked through the most frequent one, so that a group of n near copies makes some n pairs.
 """
 
 from __future__ import annotations
@@ -104,24 +105,46 @@ def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.where(F.length(F.trim("line")) > 0).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def edit_links(lines: DataFrame, k: int = THRESHOLD, near_from: int = NEAR_FROM) -> DataFrame:
-    """Pairs (a, b) of rows of lines (row long, line string, both distinct) of near_from code points at least that are within k edits."""
+def edit_links(lines: DataFrame, k: int = THRESHOLD, near_from: int = NEAR_FROM, spanning: bool = False) -> DataFrame:
+    """Pairs (a, b) of rows of lines (row long, line string, both distinct) of near_from code points at least that are within k edits.
+
+    With spanning, only as many of them as connect what all of them connect, or somewhat more: lines are first compared with
+    the most frequent line (by column copies) under each of their keys, and then only with lines that aren't connected to them yet.
+    """
     if near_from < 2 * k + 1:
         raise ValueError("near_from must be 2k + 1 at least")
-    long = lines.where(F.length("line") >= near_from).select("row", "line")
+    copies = "copies" if "copies" in lines.columns else "1L AS copies"
+    long = lines.where(F.length("line") >= near_from).selectExpr("row", "line", copies)
     own = keyed(long, [(0, i, 0) for i in range(k + 1)], k).withColumnRenamed("row", "own")
     asked = materialise(keyed(long, probes(k), k).alias("x").join(own.alias("y"), F.expr("x.key = y.key AND x.row <> y.own"), "left_semi"), "asked")
     own = materialise(own.join(asked.select("key").distinct(), "key", "left_semi"), "own")
     ids = asked.select("row").unionAll(own.select("own")).distinct()
-    wanted = materialise(long.join(ids, "row", "left_semi").selectExpr("row", "line", f"{letter_counts()} AS counts"), "wanted")
-    x = own.join(wanted.selectExpr("row AS own", "counts"), "own")
+    # merged at every size: a broadcast that small inputs would get says nothing about large ones
+    wanted = materialise(long.hint("merge").join(ids, "row", "left_semi").selectExpr("row", "line", "copies", f"{letter_counts()} AS counts"), "wanted")
+    x = own.join(wanted.selectExpr("row AS own", "counts", "copies"), "own")
     y = asked.join(wanted.selectExpr("row", "counts AS asked_counts"), "row")
-    meet = x.join(y, (x.key == y.key) & F.expr(f"own <> row AND {apart('counts', 'asked_counts')} <= {2 * k}"))
-    pairs = materialise(meet.select(F.least("own", "row").alias("a"), F.greatest("own", "row").alias("b")).distinct(), "pairs")
-    x, y = F.expr("IF(length(x) <= length(y), x, y)"), F.expr("IF(length(x) <= length(y), y, x)")
-    both = pairs.join(wanted.selectExpr("row AS a", "line AS x"), "a").join(wanted.selectExpr("row AS b", "line AS y"), "b").select("a", "b", x.alias("x"), y.alias("y"))
-    links = materialise(both.where(F.expr(f"IF({unharmed('x', 'y', k)}, {edit_distance('x', 'y', k)}, {k + 1}) <= {k}")).select("a", "b"), "links")
-    discard(asked, own, wanted, pairs)
+    alike = F.expr(f"own <> row AND {apart('counts', 'asked_counts')} <= {2 * k}")
+    used = []
+
+    def verified(meet: DataFrame) -> DataFrame:
+        pairs = materialise(meet.select(F.least("own", "row").alias("a"), F.greatest("own", "row").alias("b")).distinct(), "pairs")
+        shorter, longer = F.expr("IF(length(x) <= length(y), x, y)").alias("x"), F.expr("IF(length(x) <= length(y), y, x)").alias("y")
+        both = pairs.join(wanted.selectExpr("row AS a", "line AS x"), "a").join(wanted.selectExpr("row AS b", "line AS y"), "b").select("a", "b", shorter, longer)
+        used.append(pairs)
+        return materialise(both.where(F.expr(f"IF({unharmed('x', 'y', k)}, {edit_distance('x', 'y', k)}, {k + 1}) <= {k}")).select("a", "b"), "links")
+
+    if spanning:
+        x, y = materialise(x, "own"), materialise(y, "asked")
+        hubs = x.groupBy("key").agg(F.max(F.struct("copies", -F.col("own"), "counts")).alias("hub")).selectExpr("key", "-hub.col2 AS own", "hub.counts AS counts")
+        first = verified(y.join(materialise(hubs, "hubs"), "key").where(alike))
+        parts = materialise(components(first), "parts")
+        x = x.join(parts.selectExpr("node AS own", "root AS part"), "own", "left").withColumn("part", F.coalesce("part", "own"))
+        y = y.join(parts.selectExpr("node AS row", "root AS asked_part"), "row", "left").withColumn("asked_part", F.coalesce("asked_part", "row"))
+        links = first.unionAll(verified(x.join(y, (x.key == y.key) & (x.part != y.asked_part) & alike)))
+        used.append(parts)
+    else:
+        links = verified(x.join(y, (x.key == y.key) & alike))
+    discard(asked, own, wanted, *used)
     return links
 
 
@@ -136,9 +159,9 @@ def line_classes(docs: DataFrame, doc_id: str, text: str, k: int = THRESHOLD, ne
     """
     seen = occurrences(docs, doc_id, text)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash", "line_no")
-    lines = seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("line").alias("line"))
+    lines = seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("line").alias("line"), F.count("*").alias("copies"))
     lines = materialise(lines.withColumn("row", F.monotonically_increasing_id()), "lines")
-    links = edit_links(lines, k, near_from)
+    links = edit_links(lines, k, near_from, spanning=True)
     firsts = materialise(lines.select("h1", "h2", "first", "row"), "firsts")
     discard(lines)
     roots = materialise(components(links), "roots")
@@ -146,7 +169,7 @@ def line_classes(docs: DataFrame, doc_id: str, text: str, k: int = THRESHOLD, ne
     low = materialise(joined.groupBy("root").agg(F.min("first").alias("low")), "low")
     near = materialise(roots.join(low, "root").select(F.col("node").alias("row"), "low"), "near")
     info = materialise(firsts.join(near, "row", "left").select("h1", "h2", F.coalesce("low", "first").alias("first")), "info")
-    discard(links, roots, firsts, low, near)
+    discard(roots, firsts, low, near)
     out = seen.drop("line").join(info, ["h1", "h2"])
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("line_no") == F.col("first.line_no"))
     return out.select("doc_id", "text_hash", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_hash").alias("first_text_hash"), F.col("first.line_no").alias("first_line_no"), same.alias("kept"))

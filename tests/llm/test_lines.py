@@ -37,6 +37,18 @@ def test_edit_distance(spark, k):
     assert all(min(r.d, k + 1) == min(distance(r.x, r.y), k + 1) for r in found if abs(len(r.x) - len(r.y)) <= k)
 
 
+def connected(pairs, n):
+    """For each of n nodes the smallest that it is connected to."""
+    root = list(range(n))
+    while True:
+        new = list(root)
+        for a, b in pairs:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == root:
+            return root
+        root = new
+
+
 @pytest.mark.parametrize("k", [1, 2])
 def test_links_equal_brute_force(spark, k):
     rng = random.Random(k)
@@ -45,8 +57,11 @@ def test_links_equal_brute_force(spark, k):
         base = "".join(rng.choices("abcdef ", k=rng.randint(6, 40)))
         texts.update(edited(rng, base, 3) for _ in range(6))
     rows = list(enumerate(sorted(texts)))
-    found = {tuple(sorted(r)) for r in lines.edit_links(spark.createDataFrame(rows, "row long, line string"), k, 5).collect()}
-    assert found == {(i, j) for i, a in rows for j, b in rows if i < j and min(len(a), len(b)) >= 5 and distance(a, b) <= k}
+    df, expected = spark.createDataFrame(rows, "row long, line string"), {(i, j) for i, a in rows for j, b in rows if i < j and min(len(a), len(b)) >= 5 and distance(a, b) <= k}
+    found = {tuple(sorted(r)) for r in lines.edit_links(df, k, 5).collect()}
+    assert found == expected
+    some = {tuple(sorted(r)) for r in lines.edit_links(df, k, 5, spanning=True).collect()}
+    assert some <= expected and connected(some, len(rows)) == connected(expected, len(rows))
 
 
 LONG = "this is a line of some length, with words"
