@@ -14,9 +14,9 @@ from lodestone.llm.common import materialise, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a language that was learned. What has no letter, or takes nearly a phrase per character in every language, goes."""
+    """Texts in a language that was learned. What has no letter, or takes nearly a phrase per character even in its best language, goes."""
     found = langid.identify(docs, "text", langid.learn(docs))
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("phrase_rate") <= langid.FOREIGN)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("excess") <= langid.FOREIGN)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
