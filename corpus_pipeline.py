@@ -25,10 +25,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the text with the smallest id, once. Rows without an id stay."""
-    classes = jaccard.near_duplicates(docs, "doc_id", "text")
-    kept = materialise(classes.where("doc_id = class_id").select("doc_id").distinct(), "kept")
-    return docs.hint("merge").join(kept, "doc_id").dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionAll(docs.where("doc_id IS NULL"))
+    """Of each class of near duplicates the row with the smallest id, once; rows are known by id and text. Of null texts all stay."""
+    kept = jaccard.classified(docs, "doc_id", "text").where("kept AND t1 IS NOT NULL")
+    kept = materialise(kept.selectExpr("t1 AS _1", "t2 AS _2", "coalesce(doc_id, 0) AS _3", "doc_id IS NULL AS _4").distinct(), "kept")
+    rows = docs.where("text IS NOT NULL").selectExpr("*", "xxhash64(text) AS _1", "xxhash64(1, text) AS _2", "coalesce(cast(doc_id AS bigint), 0) AS _3", "doc_id IS NULL AS _4")
+    found = rows.hint("merge").join(kept, ["_1", "_2", "_3", "_4"]).dropDuplicates(["_1", "_2", "_3", "_4"])
+    return found.select(*docs.columns).unionAll(docs.where("text IS NULL"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,14 +10,13 @@ source is left to be rounded alone. A source's words thus miss its target by les
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import free_name, materialise, python_batches, table
+from lodestone.llm.common import discard, free_name, materialise, python_batches, table
 
 #: Maximal copies, weights by place of the source in order, and the contract's notion of a word.
 MOST_COPIES, WEIGHTS, WORD = 3.0, (5.0, 2.0, 1.0), r"[^\x20\x09-\x0D]+"
@@ -108,28 +107,60 @@ def _round_groups(df: DataFrame, seed: int, last: bool) -> DataFrame:
     return df.repartition("rank", "node").sortWithinPartitions("rank", "node", F.desc("mass"), "key").mapInArrow(run, df.schema)
 
 
-def mix(docs: DataFrame, doc_id: str, source: str, size: F.Column, seed: int = 1) -> DataFrame:
+def targets_of(sources: DataFrame) -> DataFrame:
+    """For sources (source, size): also rank (by code point, null last), weight and target; see water_fill. Only sums and counts reach the driver.
+
+    A share is unit * weight; the unit rises from round to round, as sources stop at their bound. So a round needs one number of the one before it.
+    """
+    spark = sources.sparkSession
+    row = F.monotonically_increasing_id()
+    ordered = materialise(sources.withColumn("late", F.col("source").isNull()).orderBy("late", "source").withColumn("row", row), "sources")
+    part = F.shiftright("row", 33)
+    starts, total = [], 0
+    for p, n in sorted(tuple(r) for r in ordered.groupBy(part.alias("part")).agg(F.count("*")).collect()):  # a row per task of the sort
+        starts.append((p, total))
+        total += n
+    starts = spark.createDataFrame(starts, "part long, start long")
+    rank = (F.col("start") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank")
+    ranked = ordered.withColumn("part", part).join(F.broadcast(starts), "part").select("source", "size", rank)
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("rank") % len(WEIGHTS) + 1).cast("int")))
+    unit, stopped = 0.0, -1
+    over = lambda u: F.lit(u) * F.col("weight") > MOST_COPIES * F.col("size")
+    while True:
+        size, free, held, n = ranked.agg(F.sum("size"), F.sum(F.when(~over(unit), F.col("weight"))), F.sum(F.when(over(unit), MOST_COPIES * F.col("size"))), F.count_if(over(unit))).first()
+        if n == stopped or not free:
+            break
+        unit, stopped = ((size or 0) - (held or 0.0)) / free, n
+    return ranked.withColumn("target", F.when(over(unit), MOST_COPIES * F.col("size")).otherwise(F.lit(unit) * F.col("weight")).cast("double"))
+
+
+def _marks(doc_id: str, source: str, text: str | None) -> list[F.Column]:
+    """128 bits of a hash of what tells rows apart."""
+    known = [F.col(c) for c in (doc_id, source, text) if c]
+    known += [c.isNull() for c in known]
+    return [F.xxhash64(F.lit(i), *known) for i in (1, 2)]
+
+
+def mix(docs: DataFrame, doc_id: str, source: str, size: F.Column, text: str | None = None, seed: int = 1) -> DataFrame:
     """Copies of each document so that the sources come to their targets.
 
     docs: any columns; size: an expression for a row's words. Sources in code point order (null
-    last) weigh 5, 2, 1 and so on. Rows alike in id, source and size get one decision together, so
-    that rows need no key and repeated rows are counted each. A size of 0 gets no extra copy; an
-    empty table gives no rows. Only one row per source reaches the driver. Returns one row per
-    decision: doc_id, source, size, n_rows, source_size, target, copies.
+    last) weigh 5, 2, 1 and so on. Rows need no key: those alike in id, source, size (and text, if it is named) are one decision
+    about a number of copies of all of them, which is rounded as a single row's is. A size of 0 gets no extra copy; an
+    empty table gives no rows. Returns one row per decision: h1, h2 (its hash), doc_id, source, size, n_rows, source_size, target,
+    copies (of its n_rows rows together; each gets as many as another, or one more).
     """
     spark = docs.sparkSession
     python_batches(spark)
-    units = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
-    units = materialise(units.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n_rows")), "units")
-    found = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("size"), F.count("*").alias("n")).collect()
-    found.sort(key=lambda r: (r.source is None, r.source or ""))
-    targets = water_fill([r.size for r in found], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(found))])
-    rates = [min(MOST_COPIES, t / r.size) if r.size else 0.0 for r, t in zip(found, targets, strict=True)]
-    plan = spark.createDataFrame([(r.source, i, r.size, t, math.floor(c), c - math.floor(c)) for i, (r, t, c) in enumerate(zip(found, targets, rates, strict=True))], "s string, rank int, source_size long, target double, whole long, p double")
-    nodes = max(1, -(-sum(r.n for r in found) // GROUP_ROWS))
-    df = units.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    key = F.xxhash64("doc_id", "size")
-    df = df.withColumns({"key": key, "mass": (F.col("size") * F.col("n_rows")).cast("double"), "node": F.pmod(key, F.lit(nodes))})
+    h1, h2 = _marks(doc_id, source, text)
+    units = docs.select(h1.alias("h1"), h2.alias("h2"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    units = materialise(units.groupBy("h1", "h2", "doc_id", "source", "size").agg(F.count("*").alias("n_rows")), "units")
+    plan = materialise(targets_of(units.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("size"))).select(F.col("source").alias("s"), "rank", F.col("size").alias("source_size"), "target"), "plan")
+    nodes = max(1, -(-units.count() // GROUP_ROWS))
+    rate = F.when(F.col("source_size") > 0, F.least(F.lit(MOST_COPIES), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    df = units.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("want", rate * F.col("n_rows"))
+    df = df.withColumns({"whole": F.floor("want").cast("long"), "p": F.col("want") - F.floor("want"), "key": F.xxhash64("h1", "size"), "mass": F.col("size").cast("double")}).drop("want")
+    df = df.withColumn("node", F.pmod("key", F.lit(nodes)))
     out, level, open_one = None, 0, (F.col("p") > 0) & (F.col("p") < 1)
     while True:
         done = materialise(_round_groups(df, seed + level, nodes == 1), f"mix{level}")
@@ -138,22 +169,27 @@ def mix(docs: DataFrame, doc_id: str, source: str, size: F.Column, seed: int = 1
         if nodes == 1:
             break
         df, nodes, level = done.where(open_one).withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long")), -(-nodes // FAN_IN), level + 1
-    return out.select("doc_id", "source", "size", "n_rows", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
+    discard(units, plan)
+    return out.select("h1", "h2", "doc_id", "source", "size", "n_rows", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
 
 
 def mixed(docs: DataFrame, doc_id: str, source: str, text: str, seed: int = 1) -> DataFrame:
     """The rows of docs, each as often as mix() says. Columns stay; their names may be any."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    n, i = free_name(docs, "n_words"), free_name(docs, "copy")
-    chosen = mix(docs, doc_id, source, size, seed).where("copies > 0")
-    chosen = chosen.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("copies").alias("_c"))
-    kept = docs.withColumn(n, size).alias("l").hint("merge").join(chosen.alias("r"), F.col(f"l.{doc_id}").eqNullSafe(F.col("r._d")) & F.col(f"l.{source}").eqNullSafe(F.col("r._s")) & (F.col(f"l.{n}") == F.col("r._n")))
-    kept = kept.withColumn(i, F.explode(F.sequence(F.lit(1).cast("long"), F.col("r._c"))))
-    return kept.select(*[F.col(f"l.`{c}`") for c in docs.columns])
+    a, b, i = (free_name(docs, n) for n in ("mark_a", "mark_b", "copy"))
+    h1, h2 = _marks(doc_id, source, text)
+    chosen = mix(docs, doc_id, source, size, text, seed).where("copies > 0").select(F.col("h1").alias(a), F.col("h2").alias(b), F.struct("copies", "n_rows").alias(i))
+    kept = docs.withColumns({a: h1, b: h2}).hint("merge").join(chosen, [a, b])
+    # rows alike lie together after the join, so that their numbers need no further shuffle
+    number = F.row_number().over(Window.partitionBy(a, b).orderBy(a))
+    share = F.floor(F.col(f"{i}.copies") / F.col(f"{i}.n_rows")).cast("long") + (number <= F.col(f"{i}.copies") % F.col(f"{i}.n_rows")).cast("long")
+    kept = kept.withColumn(i, share).where(F.col(i) > 0)
+    return kept.withColumn(i, F.explode(F.sequence(F.lit(1).cast("long"), F.col(i)))).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
     found = mix(docs, "doc_id", "source", F.regexp_count(F.col("text"), F.lit(WORD)))
     rows = found.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    share = F.floor(F.col("copies") / F.col("n_rows")) + (F.col("row") <= F.col("copies") % F.col("n_rows")).cast("long")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * share).cast("long").alias("taken"))

@@ -3,9 +3,9 @@
 A document's full windows are cut off its front; what is left is placed whole at the fill level that
 minimises the sum of squared counts of partially filled windows. A level array holds the counts, so
 a placement looks at no window, only at levels. Each task packs its own documents: there is no
-shuffle, and a task holds its partially filled windows only. When a task ends, windows with more
-than a hundredth of padding are laid out again end to end, and the rest of that is closed at powers of two,
-so that hardly any padding remains.
+shuffle, and a task holds its partially filled windows only. When a task ends, the emptiest window is
+dissolved again and again: its pieces are cut to fill others, at the levels that lower the sum of squares most, until
+one window is left; that is closed at powers of two, so that hardly any padding remains.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 class _Chunks(dict):
-    """Ids, as little-endian unsigned 32-bit numbers, of chunks between white space, with a bound on what is kept."""
+    """Ids, as little-endian unsigned 32-bit numbers, of chunks between white space, with a bound on what is kept: some 20 MB in a worker."""
 
-    MOST, LONGEST = 500_000, 32
+    MOST, LONGEST = 60_000, 32
 
     def __init__(self, path: str):
         import regex
@@ -134,23 +134,51 @@ class SumOfSquares:
             self.open.setdefault(level + size, []).append(held)
 
     def finish(self, spare: int) -> None:
-        """Close what is open: windows with at most spare padding as they are, the others laid out anew."""
-        loose, room, held = [], self.window, []
-        for level in sorted(self.open, reverse=True):
-            for pieces in self.open[level]:
-                if self.window - level <= spare:
-                    self.close(pieces)
-                else:
-                    loose += pieces
+        """Close what is open: windows with at most spare padding as they are; the emptiest of the others is dissolved into those left, as long as there are two."""
+        for level in range(self.window - spare, self.window):
+            for pieces in self.open.pop(level, []):
+                self.close(pieces)
+            self.count[level] = 0
+        while self.count.sum() > 1:
+            low = int(np.flatnonzero(self.count)[0])
+            self.count[low] -= 1
+            for piece in self.open[low].pop():
+                self._spread(piece, spare)
+        for level in np.flatnonzero(self.count):
+            self._halve(self.open.pop(int(level))[0], int(level))
         self.open, self.count = {}, np.zeros(self.window + 1, np.int64)
-        left = sum(len(p[2]) // 4 for p in loose)
 
-        def next_room() -> int:
-            return self.window if left >= self.window else 1 << (left.bit_length() - 1)
-
-        if left:
-            room = next_room()
-        for document, start, ids in loose:
+    def _spread(self, piece: tuple, spare: int) -> None:
+        """Put a piece into open windows, cut to fill them where it can; a new window is opened only if there is none."""
+        document, start, ids = piece
+        while ids:
+            n, count = len(ids) // 4, self.count
+            levels = np.flatnonzero(count)
+            if not len(levels):
+                self._place((document, start, ids), n)
+                return
+            full = levels[self.window - levels <= n]
+            if len(full):  # a filled window takes 2 * count - 1 off the sum
+                best = len(full) - 1 - int(np.argmax(count[full][::-1]))
+                level = int(full[best])
+            else:
+                change = 2 * (count[levels + n] - count[levels]) + 2
+                level = int(levels[len(levels) - 1 - int(np.argmin(change[::-1]))])
+            cut = min(n, self.window - level)
+            held = self.open[level].pop()
+            count[level] -= 1
+            held.append((document, start, ids[: 4 * cut]))
+            if self.window - level - cut <= spare:
+                self.close(held)
+            else:
+                count[level + cut] += 1
+                self.open.setdefault(level + cut, []).append(held)
+            start, ids = start + cut, ids[4 * cut :]
+
+    def _halve(self, pieces: list, left: int) -> None:
+        """Close pieces of left ids together in windows that are powers of two."""
+        held, room = [], 1 << (left.bit_length() - 1)
+        for document, start, ids in pieces:
             while ids:
                 cut, ids = ids[: 4 * room], ids[4 * room :]
                 held.append((document, start, cut))
@@ -158,8 +186,7 @@ class SumOfSquares:
                 start, room, left = start + n, room - n, left - n
                 if not room:
                     self.close(held)
-                    held = []
-                    room = next_room() if left else 0
+                    held, room = [], 1 << (left.bit_length() - 1) if left else 0
 
 
 def pack(docs: DataFrame, doc_id: str, text: str, tokens: Callable[[str], bytes], window: int = WINDOW, end_id: int = END_ID) -> DataFrame:

@@ -72,7 +72,7 @@ def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "one two"), (4, "One  two"), (5, "one two three"), (None, "one two"), (6, "w " * 50_000), (7, "w " * 20), (8, "a b c d e"), (8, "a b c d e"), (9, "a b c d e")]
     df = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id long, text string, class_id int, root int")
     found = sorted(((r.doc_id or 0, r.class_id or 0, r.n_links) for r in jaccard.near_duplicates(df, "doc_id", "text").collect()))
-    assert found == [(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 1), (4, 3, 1), (5, 5, 0), (6, 6, 1), (7, 6, 1), (8, 8, 2), (8, 8, 2), (9, 8, 2)]
+    assert found == [(0, 3, 2), (1, 1, 0), (2, 2, 0), (3, 3, 2), (4, 3, 2), (5, 5, 0), (6, 6, 1), (7, 6, 1), (8, 8, 2), (8, 8, 2), (9, 8, 2)]
     assert jaccard.near_duplicates(df.limit(0), "doc_id", "text").count() == 0
 
 
@@ -85,7 +85,18 @@ def test_recall_of_a_run():
         x, y = jaccard.paths(np.stack([a, b]), 1, int(rng.integers(1 << 30)))
         met += bool(set(x[-1][1].tolist()) & set(y[-1][1].tolist()))
     assert abs(met / 300 - jaccard.survival()) < 0.12
-    assert 1 - (1 - jaccard.survival()) ** jaccard.runs_for(0.99) >= 0.99
+
+
+def test_recall_of_the_roots_that_are_drawn():
+    """With all first-level nodes split, pairs at the threshold meet as often as recall_of says, and often enough."""
+    rng, met = np.random.default_rng(2), 0
+    runs = jaccard.runs_for(0.99)
+    assert jaccard.recall_of(runs) >= 0.99 > jaccard.recall_of(runs - 1)
+    a = rng.integers(0, 2**32, (400, jaccard.POSITIONS), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.8, a, a + 1).astype(np.uint32)
+    for x, y in zip(jaccard.paths(a, runs), jaccard.paths(b, runs), strict=True):
+        met += bool(set(x[-1][1].tolist()) & set(y[-1][1].tolist()))
+    assert met / 400 >= 0.97
 
 
 def test_components(spark):
@@ -104,3 +115,13 @@ def test_components(spark):
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {k: root(k) for a, b in edges if a != b for k in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_many_blocks(spark, monkeypatch):
+    """A group with more sets than BLOCKS blocks of TILE hold: larger blocks, compared tile by tile."""
+    monkeypatch.setattr(jaccard, "TILE", 20)
+    monkeypatch.setattr(jaccard, "BLOCKS", 3)
+    texts = dict(enumerate(hot(150)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(df, "doc_id", "text").collect()}
+    assert found == brute(texts)

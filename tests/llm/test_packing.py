@@ -79,8 +79,33 @@ def test_levels_are_chosen_by_least_sum_of_squares(seed):
                 options[int(h)] = int((after**2).sum())
         packer.add(i, bytes(4 * size))
         assert int((packer.count**2).sum()) == min(options.values())
+    # what is left: every id once, in full windows but for powers of two at the end
+    placed = 300 - sum(1 for w in closed for _ in w)
+    before = len(closed)
     packer.finish(0)
-    assert sum(len(p[2]) for w in closed for p in w) % 4 == 0
+    sizes = [sum(len(p[2]) // 4 for p in w) for w in closed[before:]]
+    assert all(n == window or n & (n - 1) == 0 for n in sizes) and sum(n < window for n in sizes) <= 6 and placed >= 0
+    seen = defaultdict(list)
+    for w in closed:
+        for document, start, ids in w:
+            seen[document].append((start, len(ids) // 4))
+    assert sorted(seen) == list(range(300))
+    for parts in seen.values():
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at
+            at += n
+
+
+def test_leftovers_go_where_the_sum_of_squares_falls_most():
+    closed = []
+    packer = packing.SumOfSquares(40, closed.append)
+    for i, size in enumerate([30, 30, 30, 25, 3]):
+        packer.count[size] += 1
+        packer.open.setdefault(size, []).append([(i, 0, bytes(4 * size))])
+    packer.finish(0)
+    # 3 (the emptiest) joins a 30, as two levels of one window are better than one of three; 25 is dissolved next
+    assert [(p[0], len(p[2]) // 4) for p in closed[0]] == [(1, 30), (3, 10)] and sum(len(p[2]) for w in closed for p in w) == 4 * 118
 
 
 def test_ids_of_every_latin_1_character():

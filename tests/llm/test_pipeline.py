@@ -59,8 +59,8 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert sorted(r.doc_id for r in after) == sorted({c for c, _ in brute(before).values()})
     before, after = texts[3]
     times = Counter(r.doc_id for r in after)
-    found = mixing.mix(seen[3][0], "doc_id", "source", mixing.F.regexp_count("text", mixing.F.lit(mixing.WORD))).collect()
-    assert times == Counter({r.doc_id: r.copies for r in found if r.copies})
+    found = mixing.mix(seen[3][0], "doc_id", "source", mixing.F.regexp_count("text", mixing.F.lit(mixing.WORD)), "text").collect()
+    assert times == Counter({r.doc_id: r.copies for r in found if r.copies})  # each id once here
     pieces = docs.collect()
     per_doc = Counter()
     for r in pieces:
@@ -84,3 +84,14 @@ def test_empty_table(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, sf_dir), "test")
         assert docs.count() == 0
+
+
+def test_near_duplicates_by_id_and_text(spark, sf_dir):
+    """Repeated and null ids, repeated rows, long texts, and columns with clashing names."""
+    words = " ".join(f"w{i}" for i in range(40))
+    long = " ".join(f"x{i}" for i in range(30_000))
+    rows = [(3, words), (5, "quite another text of its own"), (5, words), (5, "quite another text of its own"), (None, words + " more"), (None, "a text without an id"), (None, "a text without an id"), (6, None), (6, None), (7, ""), (8, long), (9, long + " y")]
+    docs = materialise(spark.createDataFrame([(i, t, "en", "s", 0, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, root int"), "test")
+    found = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert found.columns == docs.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:20]) for r in found.collect()) == sorted([(0, "a text without an id"), (3, words[:20]), (5, "quite another text o"), (6, ""), (6, ""), (7, ""), (8, long[:20])])
