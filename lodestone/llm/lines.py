@@ -5,8 +5,8 @@ pigeonhole principle, of a line cut into threshold + 1 segments at least one occ
 line within the threshold, near its own place. Segments are indexed under (length, number, content);
 each line probes the indexes of its own and of slightly smaller lengths with the few substrings that
 can match. Semi-joins first tell which lines share a key at all, however many do. Only for these are letters
-counted; a join condition on the counts discards most chance hits before they become rows, and the
-rest, if enough pieces of the line are unharmed, is verified with a banded bit-parallel edit distance.
+counted; a join condition on the counts, and on enough pieces of the line being unharmed, discards most chance hits
+before they become rows, and the rest is verified with a banded bit-parallel edit distance.
 Lines of a dense group are linked through the most frequent one, so that a group of n near copies makes some n pairs.
 """
 
@@ -19,8 +19,8 @@ from lodestone.llm.common import components, discard, free_name, materialise, ta
 
 #: Edits; code points from which a line may be near another (shorter ones only equal one).
 THRESHOLD, NEAR_FROM = 2, 5
-#: Letters that the join's filter counts: the frequent ones, modulo 16 each; pieces that the last filter looks for.
-LETTERS, PIECES = "etnraisohd", 12
+#: Characters that the join's filter counts, modulo 16 each, in two numbers; pieces that its last filter looks for.
+LETTERS, PIECES = ("etnraisohdlucmf", "pgwybvkxjqz ,.-"), 12
 
 
 def segments(length: str, number: str, k: int) -> tuple[str, str]:
@@ -48,15 +48,15 @@ def keyed(lines: DataFrame, combos: list[tuple[int, int, int]], k: int) -> DataF
     return lines.select("row", "line", F.length("line").alias("n"), F.explode(F.expr(f"array({listed})")).alias("c")).selectExpr(f"xxhash64(n - c.less, c.i, substring(line, {start} + c.shift, {size})) AS key", "row")
 
 
-def letter_counts() -> str:
-    """SQL for the counts of LETTERS in a line modulo 16, four bits each."""
-    return " | ".join(f"shiftleft(cast((length(line) - length(replace(line, '{c}', ''))) & 15 as bigint), {4 * i})" for i, c in enumerate(LETTERS))
+def letter_counts(letters: str) -> str:
+    """SQL for the counts of letters in a line modulo 16, four bits each."""
+    return " | ".join(f"shiftleft(cast((length(line) - length(replace(line, '{c}', ''))) & 15 as bigint), {4 * i})" for i, c in enumerate(letters))
 
 
 def apart(a: str, b: str) -> str:
     """SQL for the sum of the differences, around a circle of 16, of two packed counts: at most two for each edit."""
     terms = []
-    for i in range(len(LETTERS)):
+    for i in range(len(LETTERS[0])):
         d = f"(((shiftright({a}, {4 * i}) & 15) - (shiftright({b}, {4 * i}) & 15)) & 15)"
         terms.append(f"least({d}, 16 - {d})")
     return " + ".join(terms)
@@ -120,10 +120,10 @@ def edit_links(lines: DataFrame, k: int = THRESHOLD, near_from: int = NEAR_FROM,
     own = materialise(own.join(asked.select("key").distinct(), "key", "left_semi"), "own")
     ids = asked.select("row").unionAll(own.select("own")).distinct()
     # merged at every size: a broadcast that small inputs would get says nothing about large ones
-    wanted = materialise(long.hint("merge").join(ids, "row", "left_semi").selectExpr("row", "line", "copies", f"{letter_counts()} AS counts"), "wanted")
-    x = own.join(wanted.selectExpr("row AS own", "counts", "copies"), "own")
-    y = asked.join(wanted.selectExpr("row", "counts AS asked_counts"), "row")
-    alike = F.expr(f"own <> row AND {apart('counts', 'asked_counts')} <= {2 * k}")
+    wanted = materialise(long.hint("merge").join(ids, "row", "left_semi").selectExpr("row", "line", "copies", *[f"{letter_counts(c)} AS n{i}" for i, c in enumerate(LETTERS)]), "wanted")
+    x = own.join(wanted.selectExpr("row AS own", "n0", "n1", "copies", "line AS x"), "own")
+    y = asked.join(wanted.selectExpr("row", "n0 AS m0", "n1 AS m1", "line AS y"), "row")
+    alike = F.expr(f"own <> row AND {apart('n0', 'm0')} + {apart('n1', 'm1')} <= {2 * k} AND {unharmed('x', 'y', k)}")
     used = []
 
     def verified(meet: DataFrame) -> DataFrame:
@@ -131,11 +131,11 @@ def edit_links(lines: DataFrame, k: int = THRESHOLD, near_from: int = NEAR_FROM,
         shorter, longer = F.expr("IF(length(x) <= length(y), x, y)").alias("x"), F.expr("IF(length(x) <= length(y), y, x)").alias("y")
         both = pairs.join(wanted.selectExpr("row AS a", "line AS x"), "a").join(wanted.selectExpr("row AS b", "line AS y"), "b").select("a", "b", shorter, longer)
         used.append(pairs)
-        return materialise(both.where(F.expr(f"IF({unharmed('x', 'y', k)}, {edit_distance('x', 'y', k)}, {k + 1}) <= {k}")).select("a", "b"), "links")
+        return materialise(both.where(F.expr(f"{edit_distance('x', 'y', k)} <= {k}")).select("a", "b"), "links")
 
     if spanning:
         x, y = materialise(x, "own"), materialise(y, "asked")
-        hubs = x.groupBy("key").agg(F.max(F.struct("copies", -F.col("own"), "counts")).alias("hub")).selectExpr("key", "-hub.col2 AS own", "hub.counts AS counts")
+        hubs = x.groupBy("key").agg(F.max(F.struct("copies", -F.col("own"), "n0", "n1", "x")).alias("hub")).selectExpr("key", "-hub.col2 AS own", "hub.n0", "hub.n1", "hub.x")
         first = verified(y.join(materialise(hubs, "hubs"), "key").where(alike))
         parts = materialise(components(first), "parts")
         x = x.join(parts.selectExpr("node AS own", "root AS part"), "own", "left").withColumn("part", F.coalesce("part", "own"))
