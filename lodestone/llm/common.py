@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -72,10 +73,27 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+#: Bytes hashed at a time, which bounds the memory of long texts; a longer word has another hash.
+HASH_BYTES = 1 << 20
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial in its bytes, read off prefix sums, then mixed."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
+    """A 64-bit hash of each word."""
+    out, i = [np.empty(0, np.uint64)], 0
+    while i < len(starts):
+        a, j = int(starts[i]), int(np.searchsorted(ends, starts[i] + HASH_BYTES, side="right"))
+        if j <= i:
+            digest = hashlib.blake2b(data[a : ends[i]], digest_size=8).digest()
+            out.append(np.frombuffer(digest, "<u8").astype(np.uint64))
+            j = i + 1
+        else:
+            out.append(_word_hashes(data[a : ends[j - 1]], starts[i:j] - a, ends[i:j] - a))
+        i = j
+    return np.concatenate(out)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial in a word's bytes, read off prefix sums, then mixed."""
     length = ends - starts
     # blocks keep the polynomial's powers small; a word's terms are weighed by their place in it
     place = np.arange(len(data), dtype=np.int64)

@@ -1,10 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
 A page's text blocks are grouped by their root-to-leaf tag path. Per path, text length, punctuation
-and the part that isn't links are aggregated to ratios and fused to one score; the scores are
-smoothed along the page and thresholded by their deviation. What passes marks the content. The
-text is then all blocks of the region that holds the marked ones, so that an article's short
-blocks stay; menus, adverts and the like never take part.
+and the part that isn't links are aggregated to ratios and fused to one score, together with what the path's own names
+say of it (an article, or a sidebar). The scores are smoothed along the page and thresholded by their deviation. What
+passes marks the content: the article with most marked text, or without articles the smallest node that holds all of it.
+Of that node's blocks, those stay whose path doesn't fall far behind the marked ones. Only elements and roles
+that never are main text (menus, footers, forms, scripts) take no part from the start.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import python_batches, table
+from lodestone.llm.common import free_name, python_batches, table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -32,6 +33,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORDS = re.compile(r"[a-z]+")
+_HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
 
 # Fixed values of HTML: elements without content, inline elements, and what opens implies the end of.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,9 +43,11 @@ HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 #: What never is main text: elements, roles, and words in class or id.
 NEVER = frozenset("head nav footer aside form button select fieldset dialog menu object canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-JUNK = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner sidebar comment comments commentlist disqus respond replies cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription menu nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social related recommended widget footer masthead toolbar login signup search skip".split())
-#: Elements nested deeper than browsers allow stand beside each other.
-DEEPEST = 512
+JUNK = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo banner sidebar comment comments commentlist disqus replies cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead toolbar".split())
+#: Words that say nothing by themselves: a name of such words and one of JUNK (comment-list) speaks against its path; any other (menu-planning) doesn't.
+NEUTRAL = frozenset("area bar block body bottom box col column container content fixed form group holder inner item items left link links list main message nav outer page panel right row section site slot text title top unit wrap wrapper".split())
+#: Factors of a path's score for names that speak against it and for articles; part of the marked paths' score below which a path is left out.
+AGAINST, ARTICLE, FAR = 0.0005, 4.0, 0.06
 _PUNCTUATION = frozenset(",.;:!?，。；：！？、؟،")
 
 
@@ -53,16 +57,18 @@ class Element:
     number: int
     path: str
     out: bool  # inside something that never is main text
+    against: bool  # inside something whose name speaks against it
     main: int | None  # the outermost article or main element around it
-    above: tuple[int, ...]
+    above: tuple
     link: bool = False
 
 
 @dataclass(slots=True)
 class Block:
     path: str
-    above: tuple[int, ...]
+    above: tuple
     main: int | None
+    against: bool = False
     text: str = ""
     linked: int = 0
     marks: int = field(default=0)
@@ -74,7 +80,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks outside menus and the like, in order."""
-    root = Element("", 0, "", False, None, (0,))
+    root = Element("", 0, "", False, False, None, (0,))
     stack, out, parts = [root], [], []
     linked = number = 0
 
@@ -84,7 +90,7 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             top = next(e for e in reversed(stack) if e.tag not in INLINE)
             if text and not top.out:
-                out.append(Block(top.path, top.above, top.main, text, min(linked, len(text)), sum(c in _PUNCTUATION for c in text)))
+                out.append(Block(top.path, top.above, top.main, top.against, text, min(linked, len(text)), sum(c in _PUNCTUATION for c in text)))
             parts.clear()
         linked = 0
 
@@ -137,36 +143,57 @@ def blocks_of(page: str) -> list[Block]:
                 i = min(i, len(stack)) - 1
         if tag in VOID or raw.endswith("/") and tag in INLINE:
             continue
-        if len(stack) >= DEEPEST:
-            continue
         up, given = stack[-1], _attributes(raw)
         number += 1
-        words = set(_WORDS.findall(f"{given.get('class', '')} {given.get('id', '')}".lower())) if given else set()
-        aside = tag in NEVER or given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden") == "true" or bool(words & JUNK and tag not in ("html", "body", "main")) or "display:none" in given.get("style", "").replace(" ", "").lower()
-        aside |= up.main is None and (tag == "header" or tag not in ("html", "body", "main", "article") and "header" in words)
+        names = f"{given.get('class', '')} {given.get('id', '')}".lower().split() if given else ()
+        aside = tag in NEVER or given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
+        aside |= up.main is None and tag == "header"
+        against = up.against or tag not in ("html", "body", "main", "article") and any(_speaks_against(n) for n in names)
         is_main = tag in ("article", "main") or given.get("role", "").lower() == "main"
-        path = up.path if tag in INLINE else f"{up.path}/{tag}" + ("." + given["class"].strip().lower() if given.get("class") else "")
-        stack.append(Element(tag, number, path, up.out or aside, up.main if up.main is not None else number if is_main else None, up.above if tag in INLINE else (*up.above, number), up.link or tag == "a"))
+        # a path is kept as its hash and last step, so that deep nesting costs no more than its elements
+        step = tag + ("." + given["class"].strip().lower() if given.get("class") else "")
+        path = up.path if tag in INLINE else f"{hash(up.path):x}/{step}"
+        stack.append(Element(tag, number, path, up.out or aside, against, up.main if up.main is not None else number if is_main else None, up.above if tag in INLINE else (up.above, number), up.link or tag == "a"))
     if at < len(page):
         word(page[at:])
     flush()
     return out
 
 
-def marked(blocks: list[Block]) -> list[bool]:
-    """Which blocks pass: fused ratios of their paths, smoothed along the page, against the deviation of the scores."""
-    sums: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+def _speaks_against(name: str) -> bool:
+    words = _WORDS.findall(name)
+    return any(w in JUNK for w in words) and all(w in JUNK or w in NEUTRAL for w in words)
+
+
+def path_scores(blocks: list[Block]) -> list[float]:
+    """For each block its path's score: text a block, punctuation a block, the part that isn't links, and the path's names, fused."""
+    sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    key = lambda b: (b.path, b.against, b.main is not None)
     for b in blocks:
-        s = sums[b.path]
+        s = sums[key(b)]
         for i, x in enumerate((1, len(b.text), b.marks, b.linked)):
             s[i] += x
-    score = {p: math.sqrt(length / n * (1 + marks / n)) * (1 - linked / max(1, length)) for p, (n, length, marks, linked) in sums.items()}
-    raw = [score[b.path] for b in blocks]
+    score = {}
+    for k, (n, length, marks, linked) in sums.items():
+        score[k] = math.sqrt(length / n * (1 + marks / n)) * (1 - linked / max(1, length)) * (AGAINST if k[1] else 1) * (ARTICLE if k[2] else 1)
+    return [score[key(b)] for b in blocks]
+
+
+def marked(blocks: list[Block], raw: list[float]) -> list[bool]:
+    """Which blocks pass: their paths' scores, smoothed along the page, against the deviation of the scores."""
     kernel = (0.25, 0.5, 0.25)
     smooth = [sum(k * raw[min(max(i + d, 0), len(raw) - 1)] for k, d in zip(kernel, (-1, 0, 1), strict=True)) for i in range(len(raw))]
     mean = sum(smooth) / len(smooth)
     limit = min(math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)), max(smooth))
-    return [x >= limit and r > 0 for x, r in zip(smooth, raw, strict=True)]
+    return [x >= limit and r > 0 and r >= FAR * max(raw) for x, r in zip(smooth, raw, strict=True)]
+
+
+def _up(above: tuple) -> Iterator[int]:
+    """Element numbers from a block's own to the root's."""
+    while len(above) > 1:
+        yield above[1]
+        above = above[0]
+    yield above[0]
 
 
 def main_text(page: str | None) -> str:
@@ -174,43 +201,50 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    chosen = marked(blocks)
-    mains = {b.main for b, c in zip(blocks, chosen, strict=True) if c and b.main is not None}
-    if mains:
-        return "\n".join(b.text for b in blocks if b.main in mains)
-    if any(b.main is not None for b in blocks):
-        return "\n".join(b.text for b in blocks if b.main is not None)
+    raw = path_scores(blocks)
+    chosen = marked(blocks, raw)
     if not any(chosen):
         return ""
+    # the marked text of each article, and of what is in none
+    mass: dict[int | None, float] = defaultdict(float)
+    for b, c, r in zip(blocks, chosen, raw, strict=True):
+        mass[b.main] += len(b.text) * r if c else 0.0
+    far = FAR * max(r for c, r in zip(chosen, raw, strict=True) if c)
+    near = lambda i: raw[i] >= far or bool(_HEADING.search(blocks[i].path)) and not blocks[i].against and 2 * blocks[i].linked <= len(blocks[i].text)
+    if max(mass, key=mass.get) is not None:
+        mains = {m for m, x in mass.items() if m is not None and x > 0}
+        return "\n".join(b.text for i, b in enumerate(blocks) if b.main in mains and near(i))
     first, last = chosen.index(True), len(chosen) - 1 - chosen[::-1].index(True)
-    common = blocks[first].above
+    common = list(_up(blocks[first].above))
     for b, c in zip(blocks, chosen, strict=True):
         if c:
-            common = tuple(x for x, y in zip(common, b.above, strict=False) if x == y)
-    inside = lambda b: b.above[: len(common)] == common
-    # a heading right before the first marked block opens the article
-    while first and inside(blocks[first - 1]) and re.search(r"/h[1-6][^/]*$", blocks[first - 1].path):
+            known = set(_up(b.above))
+            common = [x for x in common if x in known]
+    inside = lambda b: common[0] in set(_up(b.above))
+    # a heading right before the first marked block opens the text
+    while first and inside(blocks[first - 1]) and _HEADING.search(blocks[first - 1].path):
         first -= 1
-    return "\n".join(b.text for i, b in enumerate(blocks) if first <= i <= last and inside(b) and (chosen[i] or 2 * b.linked < len(b.text)))
+    return "\n".join(b.text for i, b in enumerate(blocks) if first <= i <= last and inside(b) and near(i))
 
 
 def extract(pages: DataFrame, markup: str, keep: list[str]) -> DataFrame:
     """The columns keep, text (the main text of column markup) and n_chars (its code points).
 
-    A null or empty page, or one without text, has an empty text; repeated rows give a row each; kept
-    columns must not be called text or n_chars; other columns are left out. Whole pages are
+    A null or empty page, or one without text, has an empty text; repeated rows give a row each; a kept
+    column that is called text or n_chars gives way to the new one; other columns are left out. Whole pages are
     parsed, each in its own task: there is no shuffle.
     """
     python_batches(pages.sparkSession)
-    rows = pages.select(*keep, F.col(markup).alias("_markup"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    keep = [c for c in keep if c.lower() not in ("text", "n_chars")]
+    rows = pages.select(F.col(markup).alias(free_name(pages, "markup")), *keep)
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x) for x in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keep, "text", "n_chars"])
+            texts = [main_text(x.as_py()) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keep, "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return rows.mapInArrow(run, f"{kinds}text string, n_chars long")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from lodestone.llm import html_text
 from lodestone.llm.html_text import extract, main_text, op7_html
 
 LONG = "It was a bright cold day, and the clocks were striking; nobody looked up, of course. " * 3
@@ -43,9 +44,37 @@ def test_pages(page, text):
     assert main_text(page) == text or text is None
 
 
+def test_ratios_decide(spark, sf_dir, monkeypatch):
+    """Other scores choose other nodes, with and without an article; the same ones don't."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    pages += [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in pages]
+    before = [main_text(p) for p in pages]
+    score = html_text.path_scores
+    monkeypatch.setattr(html_text, "path_scores", lambda blocks: [1 / x for x in score(blocks)])
+    assert sum(main_text(p) != t for p, t in zip(pages, before, strict=True)) > 0.9 * len(pages)
+
+
+def test_pages_without_articles(spark, sf_dir):
+    """The tables' template with a plain div for the article: nearly all of the text, and nothing else."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    found = [(main_text(p.replace("<article>", "<div>").replace("</article>", "</div>")), expected(p)) for p in pages]
+    assert sum(a == b for a, b in found) >= 0.85 * len(found) and all(a in b for a, b in found)
+
+
+def test_names_are_evidence_only():
+    story = f"<p class='share price'>{LONG}</p><section id='menu-planning'><h2>Plan</h2><p>{LONG}</p></section>"
+    whole = f"{LONG.strip()}\nPlan\n{LONG.strip()}"
+    assert main_text(f"<article>{story}<div class='comment-list'>{LONG}</div></article>") == whole
+    assert main_text(f"<body class='cookies-law'><article>{story}</article></body>") == whole
+    assert main_text(f"<div>{'<div>' * 600}<nav>a menu</nav><p>{LONG}</p>") == LONG.strip()
+    assert extract is not None and main_text(f"<nav>x</nav>{'<b>' * 600}{LONG}<nav>y</nav>") == LONG.strip()
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", "<p>a b</p>", 1), (1, "u", "<p>a b</p>", 1), (None, None, None, None), (2, "u", "<div>" * 3000 + "deep", 0)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
     found = sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in extract(df, "html", ["page_id", "url"]).collect())
     assert found == [(0, "", "", 0), (1, "u", "a b", 3), (1, "u", "a b", 3), (2, "u", "deep", 4)]
     assert extract(df.limit(0), "html", ["page_id"]).count() == 0
+    clash = df.withColumnsRenamed({"url": "text", "page_id": "_markup"})
+    assert extract(clash, "html", ["_markup", "text", "n_chars"]).columns == ["_markup", "text", "n_chars"] and extract(clash, "html", ["_markup", "text"]).count() == 4
