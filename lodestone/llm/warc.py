@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, python_batches, table
+from lodestone.llm.common import free_name, materialise, python_batches, table
 
 # Fixed values of the format: the skippable frame that holds a dictionary, and Zstandard's own marks.
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, b"\x28\xb5\x2f\xfd", b"\x37\xa4\x30\xec"
@@ -52,27 +52,28 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:n]
 
 
-def dictionary_of(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from records spread over the archive, SAMPLE_BYTES of them at most; None if they are too few to build one."""
+def dictionary_of(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary from records spread over the archive, SAMPLE_BYTES of them at most (of each its first 64 KB).
+
+    Where they are too few or too much alike to train one, their content itself is the dictionary, as the format allows.
+    """
     size = sum(map(len, records))
-    step = max(1, -(-size // SAMPLE_BYTES))
-    samples = [r[:65536] for r in records[::step]]
-    if len(samples) < 8 or size < 20_000:
-        return None
+    samples = [r[:65536] for r in records[:: max(1, -(-size // SAMPLE_BYTES))]]
     try:
-        return zstandard.train_dictionary(min(DICT_BYTES, size // 10), samples, k=200, d=8)
+        if len(samples) >= 8:
+            return zstandard.train_dictionary(max(256, min(DICT_BYTES, size // 10)), samples, k=200, d=8)
     except zstandard.ZstdError:
-        return None
+        pass
+    return zstandard.ZstdCompressionDict((b"".join(samples) + b"WARC/1.1")[:DICT_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def write_archive(records: list[bytes]) -> bytes:
-    """The dictionary, itself compressed, in a skippable frame (none if none can be built), then a frame per record."""
+    """The dictionary, itself compressed, in a skippable frame, then a frame per record."""
     out = io.BytesIO()
     known = dictionary_of(records)
-    if known:
-        body = zstandard.ZstdCompressor(level=19).compress(known.as_bytes())
-        out.write(struct.pack("<II", SKIPPABLE, len(body)) + body)
-    press = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=True) if known else zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
+    body = zstandard.ZstdCompressor(level=19).compress(known.as_bytes())
+    out.write(struct.pack("<II", SKIPPABLE, len(body)) + body)
+    press = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=True)
     for r in records:
         out.write(press.compress(r))
     return out.getvalue()
@@ -87,9 +88,9 @@ def read_archive(data: bytes) -> Iterator[bytes]:
         body = bytes(view[8:at])
         if body.startswith(FRAME):
             body = zstandard.ZstdDecompressor().decompress(body)
-        if not body.startswith(DICTIONARY):
+        if len(body) < 8:
             raise ValueError("the first frame holds no dictionary")
-        known = zstandard.ZstdCompressionDict(body)
+        known = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_FULLDICT if body.startswith(DICTIONARY) else zstandard.DICT_TYPE_RAWCONTENT)
     press = zstandard.ZstdDecompressor(dict_data=known) if known else zstandard.ZstdDecompressor()
     while at < len(data):
         one, parts, step = press.decompressobj(), [], 4096
@@ -111,12 +112,13 @@ def with_revisits(pages: DataFrame, page_id: str, payload: str, min_bytes: int =
     a digest with a large part of all rows can be split over tasks.
     """
     body = F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b""))
+    digest, low = free_name(pages, "digest"), free_name(pages, "first")
     rows = pages.withColumn("warc_digest", F.sha1(body))
-    slim = pages.select(F.col(page_id).alias("first"), F.sha1(body).alias("digest"), F.length(body).alias("n"))
-    twins = slim.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("first").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
-    twins = materialise(twins.select("digest", "first"), "twins")
-    found = rows.join(twins, F.col("warc_digest") == F.col("digest"), "left")
-    first = F.when(F.col(page_id).isNull() | (F.col(page_id) != F.col("first")), F.col("first"))
+    slim = pages.select(F.col(page_id).alias(low), F.sha1(body).alias(digest), F.length(body).alias("n"))
+    twins = slim.where(F.col("n") >= min_bytes).groupBy(digest).agg(F.min(low).alias(low), F.count("*").alias("n")).where((F.col("n") > 1) & F.col(low).isNotNull())
+    twins = materialise(twins.select(digest, low), "twins")
+    found = rows.join(twins, F.col("warc_digest") == F.col(digest), "left")
+    first = F.when(F.col(page_id).isNull() | (F.col(page_id) != F.col(low)), F.col(low))
     return found.select(*[F.col(c) for c in pages.columns], "warc_digest", first.alias("warc_first"))
 
 
@@ -140,7 +142,7 @@ def write_warc(pages: DataFrame, page_id: str, url: str, payload: str, min_bytes
 
         part, number = TaskContext.get().partitionId(), 0
         held: list[bytes] = []
-        size = 0
+        size = serial = 0
 
         def closed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{number:05d}.warc.zst"]), pa.array([write_archive(held)], pa.binary()), pa.array([len(held)], pa.int64())], ["name", "content", "n_records"])
@@ -150,7 +152,10 @@ def write_warc(pages: DataFrame, page_id: str, url: str, payload: str, min_bytes
                 body = (row["payload"] or "").encode()
                 key, first = row["page_id"], row["warc_first"]
                 digest = base64.b32encode(bytes.fromhex(row["warc_digest"])).decode()
-                headers = {"WARC-Type": "response" if first is None else "revisit", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{key}-{digest}')}>", "WARC-Target-URI": row["url"] or "", "WARC-Date": when, "WARC-Payload-Digest": f"sha1:{digest}", "X-Page-ID": "" if key is None else str(key), "X-Payload-Length": str(len(body))}
+                serial += 1
+                # revisits refer to a response by its id and digest; a revisit's own name is its task's alone
+                own = f"{key}-{digest}" if first is None and key is not None else f"{key}-{digest}-{part}-{serial}"
+                headers = {"WARC-Type": "response" if first is None else "revisit", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, own)}>", "WARC-Target-URI": row["url"] or "", "WARC-Date": when, "WARC-Payload-Digest": f"sha1:{digest}", "X-Page-ID": "" if key is None else str(key), "X-Payload-Length": str(len(body))}
                 if first is None:
                     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
                 else:

@@ -12,7 +12,7 @@ def test_archives_round_trip(n):
     records = [warc.record({"WARC-Type": "response", "X": str(i)}, f"<p>the text of page {i} {'and more ' * (i % 50)}</p>".encode() * (1 + i % 3)) for i in range(n)]
     data = warc.write_archive(records)
     assert list(warc.read_archive(data)) == records
-    assert data.startswith((0x184D2A5D).to_bytes(4, "little")) == (n == 400)
+    assert data.startswith((0x184D2A5D).to_bytes(4, "little"))
     if n:
         with pytest.raises(ValueError):
             list(warc.read_archive(data[:-3]))
@@ -50,3 +50,19 @@ def test_base32(spark):
     values = [hashlib.sha1(bytes([i])).hexdigest() for i in range(50)]
     found = spark.createDataFrame([(v,) for v in values], "h string").select("h", warc.base32(F.col("h")).alias("b")).collect()
     assert all(r.b == base64.b32encode(bytes.fromhex(r.h)).decode() for r in found)
+
+
+def test_every_archive_has_a_dictionary():
+    """On both sides of what suffices to train one."""
+    for records in ([warc.record({"WARC-Type": "response"}, b"x")], [warc.record({"WARC-Type": "response"}, b"same")] * 40, [warc.record({"n": str(i)}, f"page {i} ".encode() * 200) for i in range(100)]):
+        data = warc.write_archive(records)
+        assert data[:4] == warc.SKIPPABLE.to_bytes(4, "little") and list(warc.read_archive(data)) == records
+
+
+def test_clashing_names_and_own_record_ids(spark):
+    df = spark.createDataFrame([(2, "u", "a", "d", 1), (1, "u", "a", "d", 1), (2, "u", "a", "d", 1), (None, "u", "b", None, None)], "page_id long, url string, html string, digest string, first int")
+    found = warc.with_revisits(df, "page_id", "html")
+    assert found.columns == [*df.columns, "warc_digest", "warc_first"] and sorted((r.page_id or 0, r.warc_first or 0) for r in found.collect()) == [(0, 0), (1, 0), (2, 1), (2, 1)]
+    heads = [r.headers for r in warc.read_warc(warc.write_warc(df, "page_id", "url", "html")).collect()]
+    assert len({h["WARC-Record-ID"] for h in heads}) == 4
+    assert {h["WARC-Refers-To"] for h in heads if h["WARC-Type"] == "revisit"} == {h["WARC-Record-ID"] for h in heads if h["X-Page-ID"] == "1"}
