@@ -198,6 +198,10 @@ def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line_no", F.col("first_doc_id").alias("class_doc_id"), F.col("first_line_no").alias("class_line_no"), "kept")
 
 
+#: DuckDB's distance counts bytes: these letters become one byte each.
+_WIDE = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_NARROW = " || ".join(f"chr({i})" for i in [*range(1, 9), 11, 12, *range(14, 32), 127][: len(_WIDE)])
+
 SQL = f"""
 WITH RECURSIVE o AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no
@@ -206,7 +210,7 @@ WITH RECURSIVE o AS (
 ), d AS (SELECT line, length(line) AS n, row_number() OVER (ORDER BY line) AS id, {', '.join(f"length(line) - length(replace(line, '{c}', '')) AS {c}" for c in 'etnraiso')} FROM (SELECT DISTINCT line FROM s)
 ), p AS (
   SELECT x.id AS a, y.id AS b FROM d x JOIN d y ON y.n BETWEEN x.n AND x.n + {THRESHOLD} AND x.id <> y.id AND x.n >= {NEAR_FROM}
-  WHERE {' AND '.join(f"abs(x.{c} - y.{c}) <= {THRESHOLD}" for c in 'etnraiso')} AND levenshtein(x.line, y.line) <= {THRESHOLD}
+  WHERE {' AND '.join(f"abs(x.{c} - y.{c}) <= {THRESHOLD}" for c in 'etnraiso')} AND levenshtein(translate(x.line, '{_WIDE}', {_NARROW}), translate(y.line, '{_WIDE}', {_NARROW})) <= {THRESHOLD}
 ), l AS (SELECT a, b FROM p UNION SELECT b, a FROM p
 ), r AS (SELECT id AS a, id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
 ), c AS (SELECT a AS id, min(b) AS class FROM r GROUP BY 1
