@@ -395,3 +395,29 @@ for _f, _o in (("csv", {"header": "true"}), ("json", {}), ("orc", {}), ("parquet
 @query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1")
 def partition_pruning(spark, d):
     return partitioned(table(spark, d, "orders"), "o_orderstatus").where("o_orderstatus <> 'F'").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- modes, parts of addresses, positions
+
+
+@query("""
+SELECT o_orderpriority, o_orderstatus AS status FROM (
+  SELECT o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_orderpriority ORDER BY count(*) DESC, o_orderstatus) AS place FROM orders GROUP BY 1, 2
+) WHERE place = 1""")
+def mode_with_ties(spark, d):
+    """The most frequent value of each group; of several the smallest."""
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.mode("o_orderstatus", True).alias("status"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^([a-z]+)://', 1) AS scheme FROM pages")
+def url_parts(spark, d):
+    return table(spark, d, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PROTOCOL")).alias("scheme"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e FROM embeddings),
+z AS (SELECT vec_id, list_transform(range(1, len(e) + 1), lambda i: e[i] * e[len(e) + 1 - i]) AS z FROM e)
+SELECT vec_id, CAST(generate_subscripts(z, 1) - 1 AS INTEGER) AS pos, unnest(z) AS product FROM z""")
+def zipped_positions(spark, d):
+    e = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long"))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(F.zip_with(e, F.reverse(e), lambda a, b: a * b)).alias("pos", "product"))
