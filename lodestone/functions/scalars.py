@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,12 @@ def digit_sum(x: pd.Series) -> pd.Series:
     return x.abs().astype(str).map(lambda s: sum(map(int, s)))
 
 
+@F.arrow_udf(T.StringType())
+def backwards(x: pa.Array) -> pa.Array:
+    """A text's code points in reverse: a user function on Arrow arrays, without pandas."""
+    return pc.utf8_reverse(x)
+
+
 @F.udtf(returnType=T.StructType([T.StructField("word", T.StringType()), T.StructField("place", T.IntegerType())]))
 class WordsOf:
     """A text's words with their places, as a table function."""

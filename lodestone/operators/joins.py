@@ -26,16 +26,26 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     return found.select(*kept, *[F.when(known, F.col(f"_found.{n}")).alias(n) for n in values.values()])
 
 
+#: Cells of a level are this many times wider than those of the level below; ranges beyond the last level share one cell.
+FACTOR, LEVELS = 16, 16
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
     """Pairs of rows with low <= point < high, all numeric.
 
-    Ranges are cut at multiples of width and meet points by an equality join on the cell, so that no
-    nested loop runs. width should be near a usual range's length: a range is repeated per cell.
+    Each range goes to a level of cells about as wide as itself, so that it touches two cells however wide it is, and
+    meets points by an equality join on level and cell: no nested loop runs. A point is repeated once for each level
+    that some range needs, LEVELS + 1 at most. width is that of the narrowest cells: a usual range's length. Nulls match nothing.
     """
-    cell = lambda c: F.floor(F.col(c) / width).cast("long")
-    p = points.withColumn("_cell", cell(point))
-    r = ranges.where(F.col(high) > F.col(low)).withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
-    return p.join(r, "_cell").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_cell")
+    cell = lambda c: F.when(F.col("_level") < LEVELS, F.floor(F.col(c) / (width * F.pow(F.lit(float(FACTOR)), F.col("_level")))).cast("long")).otherwise(F.when(F.col(c).isNotNull(), 0))
+    span = (F.col(high) - F.col(low)).cast("double")
+    fits = F.greatest(F.lit(0.0), F.ceil(F.log(float(FACTOR), span / width)).cast("double"))
+    level = F.when(F.isnan(span) | (span >= width * float(FACTOR) ** (LEVELS - 1)), LEVELS).otherwise(fits.cast("int"))
+    r = ranges.where(F.col(high) > F.col(low)).withColumn("_level", level)
+    used = sorted(x["_level"] for x in r.select("_level").distinct().collect())
+    r = r.withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
+    p = points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in used]).cast("array<int>"))).withColumn("_cell", cell(point))
+    return p.join(r, ["_level", "_cell"]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_level", "_cell")
 
 
 def salted_join(facts: DataFrame, keys: DataFrame, key: str, salts: int) -> DataFrame:

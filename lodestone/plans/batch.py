@@ -180,15 +180,16 @@ def statistics(spark, d):
     return table(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n"), F.min("p_name").alias("low"), F.max("p_name").alias("high"), F.max_by("p_partkey", price * 1000000 + F.col("p_partkey")).alias("dearest"), F.round(F.stddev_samp(size), 6).alias("deviation"), F.round(F.var_pop(size), 6).alias("variance"), F.round(F.corr(size, price), 6).alias("correlation"), F.round(F.regr_slope(price, size), 6).alias("slope"), F.percentile(price, 0.5).alias("middle"), F.bool_and(size > 0).alias("positive"), F.count_if(size > 25).alias("large"))
 
 
-@query("SELECT event_type, count(DISTINCT user_id) BETWEEN 1 AND 1000000 AS users_close, true AS items_close, true AS median_close FROM events GROUP BY 1")
+@query("SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS items, round(quantile_cont(value, 0.5), 6) AS middle, true AS users_close, true AS theta_close, true AS items_close, true AS median_close, true AS kll_close FROM events GROUP BY 1")
 def approximate_aggregates(spark, d):
-    """Sketches against their exact values: HyperLogLog, HLL sketches merged, and approximate percentiles."""
+    """Exact values, and whether sketches are near them: HyperLogLog, theta and HLL sketches merged from parts, approximate percentiles and KLL."""
     e = table(spark, d, "events")
-    parts = e.groupBy("event_type", F.pmod("event_id", F.lit(8)).alias("part")).agg(F.hll_sketch_agg("event_id").alias("sketch"))
-    merged = parts.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("items"))
-    sums = e.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"), F.count_distinct("user_id").alias("exact"), F.percentile_approx("value", 0.5, 10000).alias("median"), F.percentile("value", 0.5).alias("middle"), F.count("*").alias("n"))
+    parts = e.groupBy("event_type", F.pmod("event_id", F.lit(8)).alias("part")).agg(F.hll_sketch_agg("event_id").alias("hll"), F.theta_sketch_agg("user_id").alias("theta"))
+    merged = parts.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("hll"), F.theta_sketch_estimate(F.theta_union_agg("theta")).alias("theta"))
+    sums = e.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("near"), F.count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5, 10000).alias("median"), F.percentile("value", 0.5).alias("middle"), F.percentile("value", 0.45).alias("low"), F.percentile("value", 0.55).alias("high"), F.kll_sketch_agg_double("value").alias("kll"), F.count("*").alias("items"))
     close = lambda a, b, by: F.abs(F.col(a) - F.col(b)) <= by * F.col(b)
-    return sums.join(merged, "event_type").select("event_type", close("users", "exact", 0.1).alias("users_close"), close("items", "n", 0.1).alias("items_close"), close("median", "middle", 0.05).alias("median_close"))
+    kll = F.kll_sketch_get_quantile_double("kll", F.lit(0.5))
+    return sums.join(merged, "event_type").select("event_type", "users", "items", F.round("middle", 6).alias("middle"), close("near", "users", 0.1).alias("users_close"), close("theta", "users", 0.1).alias("theta_close"), close("hll", "items", 0.1).alias("items_close"), close("median", "middle", 0.05).alias("median_close"), kll.between(F.col("low"), F.col("high")).alias("kll_close"))
 
 
 @query("SELECT o_orderstatus, list_sort(list(DISTINCT o_orderpriority)) AS priorities, string_agg(DISTINCT o_orderpriority, ';' ORDER BY o_orderpriority) AS joined FROM orders GROUP BY 1")
@@ -355,10 +356,16 @@ def conditional_math(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.when(bal < 0, "debt").when(bal < 5000, "low").otherwise("high").alias("class"), F.nullif(nation, F.lit(3)).alias("nation"), F.greatest(nation, F.lit(5)).alias("g"), F.coalesce(F.nullif(nation, F.lit(3)), F.lit(-1)).alias("filled"), F.floor(bal).cast("long").alias("whole"), S.ratio(bal, nation).alias("ratio"), (F.col("c_custkey") % 7).alias("rest"), F.abs(F.round(bal)).cast("long").alias("near"))
 
 
-@query("SELECT event_type, map_from_entries([(event_type, n)])[event_type] AS n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
+@query("""
+WITH c AS (SELECT o_orderpriority, o_orderstatus AS k, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT o_orderpriority, list_sort(list(k) FILTER (k <> 'P')) AS keys, CAST(sum(n * 10) FILTER (k <> 'P') AS BIGINT) AS tens, max(n) FILTER (k = 'O') AS open FROM c GROUP BY 1""")
 def map_functions(spark, d):
-    counts = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("c"))
-    return counts.select("event_type", F.element_at(F.create_map("event_type", "c"), F.col("event_type")).alias("n"))
+    """Orders by state, as a map of each priority: built, filtered, changed and read."""
+    counts = table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
+    held = counts.groupBy("o_orderpriority").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("m"))
+    some = F.map_filter("m", lambda k, v: k != "P")
+    tens = F.aggregate(F.map_values(F.transform_values(some, lambda k, v: v * 10)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return held.select("o_orderpriority", F.array_sort(F.map_keys(some)).alias("keys"), tens.alias("tens"), F.try_element_at("m", F.lit("O")).alias("open"))
 
 
 # ---------------------------------------------------------------- user functions, sources, sinks
@@ -369,6 +376,11 @@ def pandas_function(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.digit_sum("o_custkey").alias("digits"))
 
 
+@query("SELECT c_custkey, reverse(c_name) AS name FROM customer")
+def arrow_function(spark, d):
+    return table(spark, d, "customer").select("c_custkey", S.backwards("c_name").alias("name"))
+
+
 @query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, CAST(unnest(range(len(string_split(p_name, ' ')))) AS INTEGER) AS place FROM part")
 def table_function(spark, d):
     spark.udtf.register("words_of", S.WordsOf)
@@ -421,3 +433,17 @@ SELECT vec_id, CAST(generate_subscripts(z, 1) - 1 AS INTEGER) AS pos, unnest(z)
 def zipped_positions(spark, d):
     e = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long"))
     return table(spark, d, "embeddings").select("vec_id", F.posexplode(F.zip_with(e, F.reverse(e), lambda a, b: a * b)).alias("pos", "product"))
+
+
+# ---------------------------------------------------------------- lateral join by the DataFrame API
+
+
+@query("""
+SELECT n_nationkey, c_custkey, cents FROM (
+  SELECT n_nationkey, c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS cents, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place FROM nation JOIN customer ON c_nationkey = n_nationkey
+) WHERE place <= 2""")
+def lateral_top(spark, d):
+    """For each nation the two customers with the most, by a correlated subquery on the right side."""
+    c = table(spark, d, "customer")
+    best = c.where(F.col("c_nationkey") == F.col("n_nationkey").outer()).orderBy(F.desc("c_acctbal"), "c_custkey").limit(2).select("c_custkey", S.cents("c_acctbal").alias("cents"))
+    return table(spark, d, "nation").select("n_nationkey").lateralJoin(best)

@@ -1,7 +1,11 @@
-"""Streaming queries. Each runs to the end of the table events and returns a table of its result."""
+"""Streaming queries. Each runs to the end of the table events and returns a table of its result.
+
+Windows come in append mode: those that the watermark has closed, with their state dropped. stream_latest runs in complete mode.
+"""
 
 from __future__ import annotations
 
+from lodestone.sources.shared import settings
 from lodestone.streaming import runs
 
 
@@ -9,21 +13,33 @@ def _events(spark, sf_dir):
     return runs.event_stream(spark, f"{sf_dir}/events.parque[t]")  # a pattern, so that it may be one file
 
 
+def _processor(spark, sf_dir):
+    with settings(spark, runs.PROCESSOR_STORE):
+        return runs.latest(runs.processed_totals(_events(spark, sf_dir)), "processor", "update", ["user_id"], "n")
+
+
 QUERIES = {
-    "stream_tumbling": lambda s, d: runs.latest(runs.tumbling_counts(_events(s, d)), "tumbling"),
-    "stream_sessions": lambda s, d: runs.latest(runs.session_counts(_events(s, d)), "sessions"),
+    "stream_tumbling": lambda s, d: runs.appended(runs.tumbling_counts(_events(s, d)), "tumbling"),
+    "stream_sessions": lambda s, d: runs.appended(runs.session_counts(_events(s, d)), "sessions"),
     "stream_dedup": lambda s, d: runs.appended(runs.first_events(_events(s, d)), "dedup"),
+    "stream_latest": lambda s, d: runs.latest(runs.tumbling_counts(_events(s, d)), "latest"),
+    "stream_processor": _processor,
     "stream_stateful": lambda s, d: runs.latest(runs.running_totals(_events(s, d)), "stateful", "update", ["user_id"], "n"),
 }
 
 ORACLE_SQL = {
     "stream_tumbling": """
+        SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents
+        FROM events GROUP BY 1, 2 HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+    "stream_latest": """
         SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents
         FROM events GROUP BY 1, 2""",
     "stream_sessions": """
         WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
-        SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""",
+        SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k
+        HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_processor": "SELECT user_id, count(*) AS n, max(value) AS top FROM events GROUP BY 1",
     "stream_stateful": "SELECT user_id, count(*) AS n, max(value) AS top FROM events GROUP BY 1",
 }

@@ -7,10 +7,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lodestone.sources.shared import new_path
 
+#: Settings for stateful processors, whose state must be in RocksDB.
+PROCESSOR_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """The Parquet files under path, one per micro-batch."""
@@ -31,16 +36,15 @@ def appended(df: DataFrame, tag: str) -> DataFrame:
 def latest(df: DataFrame, tag: str, mode: str = "complete", keys: list[str] | None = None, order: str | None = None) -> DataFrame:
     """Run a complete-mode query, or an update-mode one with keys and a rising order column, and read its last state."""
     spark = df.sparkSession
-    out, seen = new_path(spark, tag), []
+    out = new_path(spark, tag)
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{number:09d}")
-        seen.append(f"{out}/{number:09d}")
+    def put(batch: DataFrame, number: int) -> None:  # a batch that runs again after a failure takes its own place
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", new_path(spark, f"{tag}-log")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
     if mode == "complete":
-        return spark.read.schema(df.schema).parquet(seen[-1])
-    rows = spark.read.schema(df.schema).parquet(*seen)
+        return rows.where(F.col("batch") == F.lit(rows.agg(F.max("batch")).first()[0])).drop("batch")
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), order).alias("s")).select(*keys, "s.*")
 
 
@@ -66,10 +70,32 @@ def running_totals(stream: DataFrame) -> DataFrame:
     """A user's events and highest value so far, in state of their own."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, top = state.get if state.exists else (0, 0.0)
+        n, top = state.get if state.exists else (0, float("-inf"))
         for part in parts:
             n, top = n + len(part), max(top, float(part["value"].max()))
         state.update((n, top))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "top": [top]})
 
     return stream.select("user_id", "value").groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, top double", "n long, top double", "update", GroupStateTimeout.NoTimeout)
+
+
+class Totals(StatefulProcessor):
+    """A user's events and highest value so far, in a value state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.totals = handle.getValueState("totals", "n long, top double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
+        n, top = self.totals.get() if self.totals.exists() else (0, float("-inf"))
+        for part in rows:
+            n, top = n + len(part), max(top, float(part["value"].max()))
+        self.totals.update((n, top))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "top": [top]})
+
+    def close(self) -> None:
+        pass
+
+
+def processed_totals(stream: DataFrame) -> DataFrame:
+    """running_totals by a stateful processor; start the query under PROCESSOR_STORE."""
+    return stream.select("user_id", "value").groupBy("user_id").transformWithStateInPandas(Totals(), "user_id long, n long, top double", "Update", "None")

@@ -28,6 +28,15 @@ def test_range_join_equals_nested_loop(spark):
     assert found == sorted(map(tuple, points.join(ranges, (F.col("p") >= F.col("lo")) & (F.col("p") < F.col("hi"))).select("p", "id").collect()))
 
 
+def test_range_join_with_ranges_of_any_width(spark):
+    inf = float("inf")
+    points = spark.createDataFrame([(1, -1e300), (2, -3.0), (3, 0.0), (4, 2.5), (5, 1e12), (6, None), (7, inf)], "id int, p double")
+    ranges = spark.createDataFrame([("all", -inf, inf), ("wide", -1e13, 1e13), ("huge", -1e301, 5.0), ("narrow", 2.0, 3.0), ("empty", 3.0, 3.0), ("turned", 4.0, 1.0), ("none", None, 1.0)], "name string, lo double, hi double")
+    found = sorted(map(tuple, range_join(points, ranges, "p", "lo", "hi", 1.0).select("id", "name").collect()))
+    assert found == sorted(map(tuple, points.join(ranges, (F.col("p") >= F.col("lo")) & (F.col("p") < F.col("hi"))).select("id", "name").collect()))
+    assert range_join(points, ranges.limit(0), "p", "lo", "hi", 1.0).count() == 0
+
+
 def test_salted_join_equals_plain(spark):
     facts, keys = spark.range(500).select("id", F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k")), spark.range(0, 500, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     assert sorted(map(tuple, salted_join(facts, keys, "k", 5).select("id", "k", "v").collect())) == sorted(map(tuple, facts.join(keys, "k").select("id", "k", "v").collect()))
