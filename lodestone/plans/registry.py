@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import batch, stream
+from lodestone.plans import batch, ordered, stream
 
-QUERIES = {**batch.QUERIES, **stream.QUERIES}
-ORACLE_SQL = {**batch.ORACLE_SQL, **stream.ORACLE_SQL}
+QUERIES = {**batch.QUERIES, **ordered.QUERIES, **stream.QUERIES}
+ORACLE_SQL = {**batch.ORACLE_SQL, **ordered.ORACLE_SQL, **stream.ORACLE_SQL}
