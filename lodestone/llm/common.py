@@ -156,3 +156,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("b").alias("node")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.withColumn("root", F.col("node")))
+
+
+# ---------------------------------------------------------------- SQL for DuckDB
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, which DuckDB has no function for: a bit at a time, in the reflected form."""
+    bit = "lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))"
+    return f"xor(list_reduce({codes}, lambda s, ch: list_reduce([CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0], {bit}, xor(s, ch)), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"

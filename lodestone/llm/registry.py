@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import html_text, jaccard, langid, lines, mixing, packing, passages, tiff, topk, warc
+from lodestone.llm import html_text, jaccard, langid, lines, merkle, mixing, packing, passages, tiff, topk, trie, warc
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
     "op10_topk": topk.op10_topk,
+    "op11_trie": trie.op11_trie,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,6 @@ ORACLE_SQL = {
     "op4_jaccard": jaccard.SQL,
     "op5_warc": warc.SQL,
     "op10_topk": topk.SQL,
+    "op11_trie": trie.SQL,
+    "op13_merkle": merkle.SQL,
 }
