@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import html_text, jaccard, langid, lines, merkle, mixing, packing, passages, tiff, topk, trie, warc
+from lodestone.llm import html_text, jaccard, langid, lines, merkle, mixing, packing, passages, suffixes, tiff, topk, trie, warc
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_topk": topk.op10_topk,
     "op11_trie": trie.op11_trie,
+    "op12_suffixes": suffixes.op12_suffixes,
     "op13_merkle": merkle.op13_merkle,
 }
 
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op5_warc": warc.SQL,
     "op10_topk": topk.SQL,
     "op11_trie": trie.SQL,
+    "op12_suffixes": suffixes.SQL,
     "op13_merkle": merkle.SQL,
 }
