@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import batch, ordered, stream
+from lodestone.plans import batch, large, ordered, stream
 
-QUERIES = {**batch.QUERIES, **ordered.QUERIES, **stream.QUERIES}
-ORACLE_SQL = {**batch.ORACLE_SQL, **ordered.ORACLE_SQL, **stream.ORACLE_SQL}
+QUERIES = {**batch.QUERIES, **large.QUERIES, **ordered.QUERIES, **stream.QUERIES}
+ORACLE_SQL = {**batch.ORACLE_SQL, **large.ORACLE_SQL, **ordered.ORACLE_SQL, **stream.ORACLE_SQL}
