@@ -15,13 +15,18 @@ def _match(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
     return reduce(and_, (a[c].eqNullSafe(b[f"_{c}"]) for c in columns), F.lit(True))
 
 
+def _magnitude(v: Column) -> Column:
+    """Rises with v, by one for each doubling away from 0."""
+    return F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * (F.log2(F.abs(v)) + 1080))
+
+
 def quantiles(df: DataFrame, by: list[str], value: str, fractions: dict[str, float], bins: int = 1024) -> DataFrame:
     """Exact discrete quantiles: of each group the least value that has at least that share of its values below or at it.
 
     fractions: output column -> share. Nothing is sorted or gathered: a pass counts a group's values in `bins` bins between the
     least and the greatest candidate; the bin that holds the wanted rank has the next pass's candidates, until it holds one value.
-    Candidates' ends are met values, so that each pass parts them: for values of even spread two or three passes, for any doubles
-    it ends. Between passes a row a group and fraction is kept. Values are read as doubles; nulls don't count; NaN is the greatest; a group
+    Candidates' ends are met values, so that each pass parts them: for usual values that takes two to four passes, and
+    it ends for any. Between passes a row a group and fraction is kept. Values are read as doubles; nulls don't count; NaN is the greatest; a group
     of nulls gives nulls; a null key is a group; no rows give no rows (without `by`: a row of nulls).
     """
     keys, by = by, [f"_by{i}" for i in range(len(by))]
@@ -43,8 +48,10 @@ def quantiles(df: DataFrame, by: list[str], value: str, fractions: dict[str, flo
         open_ = states.where("NOT done").select(*[F.col(c).alias(f"_{c}") for c in by], "q", "k", "lo", "hi")
         some = v.where(finite)
         some = some.join(open_, _match(some, open_, by)).where("_v BETWEEN lo AND hi")
-        # halves, so that the difference of large values is finite
-        place = (F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        # by magnitude first, so that values of any scales are parted soon; halves, so that differences are finite
+        scaled = [_magnitude(F.col(c)) for c in ("_v", "lo", "hi")]
+        even = F.try_divide(F.col("_v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
+        place = F.when(scaled[1] < scaled[2], (scaled[0] - scaled[1]) / F.greatest(scaled[2] - scaled[1], F.lit(5e-324))).otherwise(even)
         # where halves of the least doubles vanish, the ends alone are parted
         place = F.when(F.isnan(place) | place.isNull(), F.when(F.col("_v") == F.col("lo"), 0.0).otherwise(1.0)).otherwise(place)
         spread = F.when(F.col("_v") == F.col("hi"), F.lit(bins - 1)).otherwise(F.least(F.lit(max(0, bins - 2)), F.floor(place * (bins - 1)))).cast("int")

@@ -21,7 +21,7 @@ def discrete(values, p):
     return repr(values[max(1, -int(-len(values) * p // 1)) - 1]) if values else "None"
 
 
-@pytest.mark.parametrize("bins", [2, 16, 1024])
+@pytest.mark.parametrize("bins", [64, 1024])
 def test_quantiles(spark, bins):
     r = random.Random(2)
     groups = {
