@@ -100,9 +100,10 @@ class IdleSessions(StatefulProcessor):
 def idle_sessions(stream: DataFrame, gap_seconds: int, late: str) -> DataFrame:
     """Closed sessions of users (user_id, start, end: of its last event, in ms, n, kinds: different types); start under PROCESSOR_STORE.
 
-    stream: user_id, event_type, ts (timestamp). Rows later than the watermark are dropped by Spark before they come here.
+    stream: user_id, event_type, ts (timestamp). Spark drops rows that are later than the watermark of the batch before; those of a null
+    user or time are left out.
     """
-    rows = stream.withWatermark("ts", late).select("user_id", F.unix_millis("ts").alias("at"), F.coalesce("event_type", F.lit("")).alias("type"), "ts")
+    rows = stream.where("user_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).select("user_id", F.unix_millis("ts").alias("at"), F.coalesce("event_type", F.lit("")).alias("type"), "ts")
     return rows.groupBy("user_id").transformWithStateInPandas(IdleSessions(gap_seconds), "user_id long, start long, end long, n long, kinds long", "Append", "EventTime")
 
 
@@ -132,8 +133,10 @@ class Balances(StatefulProcessor):
 def balances(stream: DataFrame, initial: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Each user's rows and sum of cents on top of initial (user_id, total), updated with every batch; start under PROCESSOR_STORE.
 
-    A time to live counts processing time since a key's last update, after which the key starts from nothing.
+    A time to live counts processing time since a key's last update, after which the key starts from nothing; a query with one
+    doesn't end by itself (not even for availableNow), as it runs batches without rows: trigger it once or stop it. Rows of a null user are left out.
     """
+    stream = stream.where("user_id IS NOT NULL")
     return stream.groupBy("user_id").transformWithStateInPandas(Balances(ttl_ms), "user_id long, n long, total long", "Update", "ProcessingTime" if ttl_ms else "None", initial.groupBy("user_id"))
 
 

@@ -32,16 +32,16 @@ def run(df, mode="append"):
 
 def test_timers_close_idle_sessions_and_drop_their_state(spark, tmp_path):
     batches = [
-        [(1, "a", 0, 1), (1, "b", 1, 1), (2, "a", 0.5, 1), (None, "a", 0, 1), (3, None, 0, 1)],
+        [(1, "a", 0, 1), (1, "b", 1, 1), (2, "a", 0.5, 1), (None, "a", 0, 1), (5, "a", None, 1), (3, None, 0, 1)],
         [(1, "a", 4, 1), (1, "c", 2.5, 1), (2, "a", 4, 1), (2, "a", 4, 1)],  # out of order: 2.5 joins 1 and 4
         [(9, "z", 100, 1)],
-        [(1, "late", 3, 1), (9, "z", 101, 1)],  # beyond the watermark: dropped
-        [(9, "z", 300, 1)],
+        [(9, "z", 101, 1)],
+        [(9, "z", 300, 1), (1, "late", 3, 1)],  # beyond the watermark: dropped
     ]
     out, state = run(keyed.idle_sessions(source(spark, tmp_path, batches), 2 * 3600, "6 hours"))
     hour = lambda ms: (datetime.utcfromtimestamp(ms / 1000) - START).total_seconds() / 3600
     found = sorted(((u, hour(s), hour(e), n, k) for u, s, e, n, k in out), key=repr)
-    assert found == sorted([(1, 0, 4, 4, 3), (2, 0.5, 0.5, 1, 1), (2, 4, 4, 2, 1), (None, 0, 0, 1, 1), (3, 0, 0, 1, 1), (9, 100, 101, 2, 1)], key=repr)
+    assert found == sorted([(1, 0, 4, 4, 3), (2, 0.5, 0.5, 1, 1), (2, 4, 4, 2, 1), (3, 0, 0, 1, 1), (9, 100, 101, 2, 1)], key=repr)
     assert max(state) > state[-1]  # idle users are gone
 
 
@@ -55,12 +55,17 @@ def test_balances_begin_with_the_initial_state(spark, tmp_path):
     assert sorted(run(keyed.balances(stream, initial), "update")[0]) == [(1, 1, 115), (1, 3, 129), (2, 1, 0), (3, 1, 1)]
 
 
-def test_balances_are_forgotten_after_their_time_to_live(spark, tmp_path):
-    stream = source(spark, tmp_path, [[(1, "a", 0, 5)], [(1, "a", 1, 7)]]).select("user_id", "cents")
-    none = spark.createDataFrame([], "user_id long, total long")
-    assert sorted(run(keyed.balances(stream, none, ttl_ms=1), "update")[0]) == [(1, 1, 5), (1, 1, 7)]
-    kept = run(keyed.balances(stream, none, ttl_ms=3_600_000), "update")[0]
-    assert sorted(kept) == [(1, 1, 5), (1, 2, 12)]
+@pytest.mark.parametrize(("ttl", "last"), [(1, (1, 1, 7)), (3_600_000, (1, 2, 12))])
+def test_balances_are_forgotten_after_their_time_to_live(spark, tmp_path, ttl, last):
+    log, out = new_path(spark, "ttl-log"), []
+    for rows in ([(1, "a", 0, 5)], [(1, "a", 1, 7)]):
+        stream = source(spark, tmp_path, [rows]).select("user_id", "cents")
+        found = keyed.balances(stream, spark.createDataFrame([], "user_id long, total long"), ttl)
+        with settings(spark, runs.PROCESSOR_STORE):
+            query = found.writeStream.outputMode("update").foreachBatch(lambda b, n: out.extend(map(tuple, b.collect()))).option("checkpointLocation", log).trigger(once=True).start()
+            query.awaitTermination(60)
+            query.stop()
+    assert out == [(1, 1, 5), last]
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
