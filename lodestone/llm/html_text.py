@@ -4,7 +4,8 @@ A page's text blocks are grouped by their root-to-leaf tag path. Per path, text
 and the part that isn't links are aggregated to ratios and fused to one score, together with what the path's own names
 say of it (an article, or a sidebar). The scores are smoothed along the page and thresholded by their deviation. What
 passes marks the content: the article with most marked text, or without articles the smallest node that holds all of it.
-Of that node's blocks, those stay whose path doesn't fall far behind the marked ones. Only elements and roles
+Of an article all blocks stay but those inside elements whose names say that they are something else, and articles in it (comments);
+of another node those whose path doesn't fall far behind the marked ones, or is one of theirs. Only elements and roles
 that never are main text (menus, footers, forms, scripts) take no part from the start.
 """
 
@@ -43,7 +44,7 @@ HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 #: What never is main text: elements, roles, and words in class or id.
 NEVER = frozenset("head nav footer aside form button select fieldset dialog menu object canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-JUNK = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo banner sidebar comment comments commentlist disqus replies cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead toolbar".split())
+JUNK = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo banner sidebar comment comments commentlist disqus reply replies respond responses discussion discussions kommentar kommentare commentaire commentaires comentario comentarios cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead toolbar".split())
 #: Words that say nothing by themselves: a name of such words and one of JUNK (comment-list) speaks against its path; any other (menu-planning) doesn't.
 NEUTRAL = frozenset("area bar block body bottom box col column container content fixed form group holder inner item items left link links list main message nav outer page panel right row section site slot text title top unit wrap wrapper".split())
 #: Factors of a path's score for names that speak against it and for articles; part of the marked paths' score below which a path is left out.
@@ -61,6 +62,7 @@ class Element:
     main: int | None  # the outermost article or main element around it
     above: tuple
     link: bool = False
+    article: bool = False  # an article or inside one
 
 
 @dataclass(slots=True)
@@ -148,12 +150,13 @@ def blocks_of(page: str) -> list[Block]:
         names = f"{given.get('class', '')} {given.get('id', '')}".lower().split() if given else ()
         aside = tag in NEVER or given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
         aside |= up.main is None and tag == "header"
-        against = up.against or tag not in ("html", "body", "main", "article") and any(_speaks_against(n) for n in names)
+        # by HTML's definition an article inside an article belongs to it as comments do
+        against = up.against or tag not in ("html", "body", "main") and any(_speaks_against(n) for n in names) or tag == "article" and up.article
         is_main = tag in ("article", "main") or given.get("role", "").lower() == "main"
         # a path is kept as its hash and last step, so that deep nesting costs no more than its elements
         step = tag + ("." + given["class"].strip().lower() if given.get("class") else "")
         path = up.path if tag in INLINE else f"{hash(up.path):x}/{step}"
-        stack.append(Element(tag, number, path, up.out or aside, against, up.main if up.main is not None else number if is_main else None, up.above if tag in INLINE else (up.above, number), up.link or tag == "a"))
+        stack.append(Element(tag, number, path, up.out or aside, against, up.main if up.main is not None else number if is_main else None, up.above if tag in INLINE else (up.above, number), up.link or tag == "a", up.article or tag == "article"))
     if at < len(page):
         word(page[at:])
     flush()
@@ -213,7 +216,9 @@ def main_text(page: str | None) -> str:
     near = lambda i: raw[i] >= far or bool(_HEADING.search(blocks[i].path)) and not blocks[i].against and 2 * blocks[i].linked <= len(blocks[i].text)
     if max(mass, key=mass.get) is not None:
         mains = {m for m, x in mass.items() if m is not None and x > 0}
-        return "\n".join(b.text for i, b in enumerate(blocks) if b.main in mains and near(i))
+        kept = [b.text for b in blocks if b.main in mains and not b.against]
+        # where all of it is inside an element with such a name, the names say nothing
+        return "\n".join(kept or [b.text for i, b in enumerate(blocks) if b.main in mains and near(i)])
     first, last = chosen.index(True), len(chosen) - 1 - chosen[::-1].index(True)
     common = list(_up(blocks[first].above))
     for b, c in zip(blocks, chosen, strict=True):
@@ -221,10 +226,14 @@ def main_text(page: str | None) -> str:
             known = set(_up(b.above))
             common = [x for x in common if x in known]
     inside = lambda b: common[0] in set(_up(b.above))
+    # what follows on the marked blocks' paths belongs to them, however short
+    paths = {b.path for b, c in zip(blocks, chosen, strict=True) if c and not b.against}
+    while last + 1 < len(blocks) and blocks[last + 1].path in paths and not blocks[last + 1].against and inside(blocks[last + 1]):
+        last += 1
     # a heading right before the first marked block opens the text
     while first and inside(blocks[first - 1]) and _HEADING.search(blocks[first - 1].path):
         first -= 1
-    return "\n".join(b.text for i, b in enumerate(blocks) if first <= i <= last and inside(b) and near(i))
+    return "\n".join(b.text for i, b in enumerate(blocks) if first <= i <= last and inside(b) and (near(i) or b.path in paths and not b.against))
 
 
 def extract(pages: DataFrame, markup: str, keep: list[str]) -> DataFrame:

@@ -300,12 +300,19 @@ def scalar_subquery(spark, d):
     return views(spark, d, "customer").sql(_ABOVE)
 
 
-_CHAIN = "WITH RECURSIVE t(n, total) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, total + (n + 1) * (n + 1) FROM t WHERE n < 20) SELECT n, total FROM t"
+_CHAIN = """
+WITH RECURSIVE t(k, depth, cents) AS (
+  SELECT s_suppkey, 0, CAST(round(s_acctbal * 100) AS BIGINT) FROM supplier WHERE s_suppkey = 1
+  UNION ALL
+  SELECT s_suppkey, depth + 1, cents + CAST(round(s_acctbal * 100) AS BIGINT) FROM t JOIN supplier ON s_suppkey = 2 * k OR s_suppkey = 2 * k + 1
+) SELECT k, depth, cents FROM t"""
 
 
 @query(_CHAIN)
 def recursive(spark, d):
-    return spark.sql(_CHAIN)
+    """Suppliers as a tree by their keys (a key's parent is its half): depth, and balances summed from the root. The join is on the parent's key."""
+    views(spark, d, "supplier").sql("SELECT *, s_suppkey DIV 2 AS parent FROM supplier").createOrReplaceTempView("_supplier_tree")
+    return spark.sql(_CHAIN.replace("t JOIN supplier ON s_suppkey = 2 * k OR s_suppkey = 2 * k + 1", "t JOIN _supplier_tree ON parent = k WHERE s_suppkey > 1"))
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -387,9 +394,16 @@ def table_function(spark, d):
     return views(spark, d, "part").sql("SELECT p_partkey, w.word, w.place FROM part, LATERAL words_of(p_name) w")
 
 
-@query("SELECT CAST(t.day AS DATE) AS day, CAST(extract(year FROM t.day) AS INTEGER) AS year, CAST(extract(month FROM t.day) AS INTEGER) AS month, CAST(extract(isodow FROM t.day) AS INTEGER) AS weekday FROM (SELECT unnest(generate_series(TIMESTAMP '1999-12-30', TIMESTAMP '2001-01-02', INTERVAL 1 DAY)) AS day) t")
+@query("""
+WITH b AS (SELECT min(o_orderdate) AS a, max(o_orderdate) AS z FROM orders), t AS (SELECT unnest(generate_series(date_trunc('day', a), date_trunc('day', z), INTERVAL 1 DAY)) AS day FROM b),
+n AS (SELECT date_trunc('day', o_orderdate) AS day, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+SELECT CAST(t.day AS DATE) AS day, CAST(extract(isodow FROM t.day) AS INTEGER) AS weekday, coalesce(n, 0) AS n FROM t LEFT JOIN n USING (day)""")
 def custom_source(spark, d):
-    return calendar(spark, "1999-12-30", "2001-01-02")
+    """Urgent orders of every day from the first order to the last, days without any too: the days come from a Python data source."""
+    orders = table(spark, d, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    first, last = orders.agg(F.min("day"), F.max("day")).first()
+    counts = orders.where("o_orderpriority = '1-URGENT'").groupBy("day").agg(F.count("*").alias("n"))
+    return calendar(spark, str(first), str(last)).join(counts, "day", "left").select("day", "weekday", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _form(form: str, **options: str) -> None:

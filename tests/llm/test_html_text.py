@@ -78,3 +78,32 @@ def test_odd_rows(spark):
     assert extract(df.limit(0), "html", ["page_id"]).count() == 0
     clash = df.withColumnsRenamed({"url": "text", "page_id": "_markup"})
     assert extract(clash, "html", ["_markup", "text", "n_chars"]).columns == ["_markup", "text", "n_chars"] and extract(clash, "html", ["_markup", "text"]).count() == 4
+
+
+_LONG = "<p>" + "A long paragraph, with commas, and so on. " * 7 + "</p>"
+
+
+@pytest.mark.parametrize(("inner", "lines"), [
+    ("<ul><li>Eggs</li><li>Milk</li></ul>", ["Eggs", "Milk"]), ("<p class=lead>Short line</p>", ["Short line"]), ("<pre>x = 1 y = 2</pre>", ["x = 1 y = 2"]), ("<p class=byline>By Someone</p>", ["By Someone"]),
+    ("<table><tr><td>1</td><td>2</td></tr></table>", ["1", "2"]), ("<p><a href=x>A linked sentence.</a></p>", ["A linked sentence."]), ("<ol><li><a href=x>One</a></li></ol>", ["One"]),
+])
+def test_short_blocks_of_an_article_stay(inner, lines):
+    text = html_text.main_text(f"<body><nav><a>menu</a></nav><article>{_LONG}{inner}{_LONG}</article><footer>foot</footer></body>").split("\n")
+    assert text[1:-1] == lines and len(text) == len(lines) + 2
+
+
+@pytest.mark.parametrize("page", [
+    "<article>{a}<article class='comment'>{b}</article></article>", "<article>{a}<section><article>{b}</article><article>{b}</article></section></article>", "<article>{a}<div class='ad'>{b}</div></article>",
+    "<main><div>{a}</div><article class='reply'>{b}</article></main>", "<main><div>{a}</div><div class='kommentare'>{b}</div></main>", "<article>{a}</article><article class=comment>{b}</article>",
+])
+def test_comments_go(page):
+    text = html_text.main_text("<body>" + page.format(a=_LONG + _LONG, b=_LONG.replace("long", "foreign")) + "</body>")
+    assert text.count("long") == 14 and "foreign" not in text
+
+
+def test_last_short_paragraph_without_an_article():
+    assert html_text.main_text(f"<body><div>{_LONG}{_LONG}<p>Closing words, in brief.</p></div></body>").endswith("\nClosing words, in brief.")
+
+
+def test_names_around_everything_say_nothing():
+    assert html_text.main_text(f"<body><div class='modal'><article>{_LONG}{_LONG}</article></div></body>").count("long") == 14
