@@ -270,13 +270,16 @@ def sample(docs: DataFrame, text: str, label: str) -> dict[str, list[str]]:
 
     Of a label's texts those that come first by a hash of the text, TRAIN_DOCS at most and no more than TRAIN_CHARS characters together (one
     text at least). Texts of more than a 16th of that are taken only where shorter ones are lacking, those of more than TRAIN_LONGEST
-    never. Rows without text or label are left out. The limit per label holds in every task before rows move.
+    never. Rows without text or label are left out. The limit per label holds in every task before rows move; the driver gets, for each label,
+    TRAIN_DOCS texts of up to TRAIN_CHARS characters, or one of up to TRAIN_LONGEST.
     """
     size = F.length(text)
     rows = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.length(F.trim(text)) > 0) & (size <= TRAIN_LONGEST))
     rows = rows.select(F.col(label).alias("label"), F.col(text).alias("text"), F.greatest(size, F.lit(TRAIN_CHARS // 16)).alias("size"), F.xxhash64(text).alias("place"))
     place = F.row_number().over(Window.partitionBy("label").orderBy("size", "place", "text"))
-    found = rows.withColumn("n", place).where(F.col("n") <= TRAIN_DOCS).select("label", "n", "text").collect()
+    # a text above TRAIN_CHARS counts only where a label has none before it
+    usable = (F.col("n") == 1) | (F.length("text") <= TRAIN_CHARS)
+    found = rows.withColumn("n", place).where((F.col("n") <= TRAIN_DOCS) & usable).select("label", "n", "text").collect()
     by: dict[str, list] = {}
     for r in sorted(found, key=lambda r: (r.label, r.n)):
         texts = by.setdefault(r.label, [])

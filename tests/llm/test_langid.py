@@ -77,3 +77,10 @@ def test_whole_texts_are_sampled(spark):
     whole = {r[1] for r in rows}
     assert set(learned) == {"de", "en"} and all(t in whole for v in learned.values() for t in v)
     assert len(learned["de"]) == 1 and sum(map(len, learned["en"])) <= langid.TRAIN_CHARS
+
+
+def test_labels_of_long_texts_only(spark):
+    """Two hundred labels whose texts all pass the sample's characters: one whole text of each is learned."""
+    rows = [(f"l{i:03}", f"{'ab' * (langid.TRAIN_CHARS // 2)} {chr(97 + j) * 9}") for i in range(200) for j in range(2)]
+    found = langid.sample(spark.createDataFrame(rows, "lang string, text string"), "text", "lang")
+    assert len(found) == 200 and all(len(v) == 1 and len(v[0]) > langid.TRAIN_CHARS for v in found.values())
