@@ -14,8 +14,14 @@ from lodestone.llm.common import materialise, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a language that was learned. What has no letter, or takes nearly a phrase per character even in its best language, goes."""
-    found = langid.identify(docs, "text", langid.learn(docs))
+    """Texts in a language that was learned. What has no letter, or takes nearly a phrase per character even in its best language, goes.
+
+    Where nothing can be learned (no text with a language) all stay.
+    """
+    samples = langid.learn(docs)
+    if not samples:
+        return docs
+    found = langid.identify(docs, "text", samples)
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("excess") <= langid.FOREIGN)).select(*docs.columns)
 
 
