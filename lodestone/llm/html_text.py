@@ -2,8 +2,8 @@
 
 A page's text blocks are grouped by their root-to-leaf tag path. Per path, text length, punctuation
 and the part that isn't links are aggregated to ratios and fused to one score, together with what the path's own names
-say of it (an article, or a sidebar). The scores are smoothed along the page and thresholded by their deviation. What
-passes marks the content: the article with most marked text, or without articles the smallest node that holds all of it.
+say of it (an article, or a sidebar). The scores are smoothed along the page and thresholded by their mean over the page's text. What
+passes marks the content: the articles with marked text, or without articles the smallest node that holds the elements around all of it.
 Of an article all blocks stay but those inside elements whose names say that they are something else, and articles in it (comments);
 of another node those whose path doesn't fall far behind the marked ones, or is one of theirs. Only elements and roles
 that never are main text (menus, footers, forms, scripts) take no part from the start.
@@ -47,8 +47,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 JUNK = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo banner sidebar comment comments commentlist disqus reply replies respond responses discussion discussions kommentar kommentare commentaire commentaires comentario comentarios cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead toolbar".split())
 #: Words that say nothing by themselves: a name of such words and one of JUNK (comment-list) speaks against its path; any other (menu-planning) doesn't.
 NEUTRAL = frozenset("area bar block body bottom box col column container content fixed form group holder inner item items left link links list main message nav outer page panel right row section site slot text title top unit wrap wrapper".split())
-#: Factors of a path's score for names that speak against it and for articles; part of the marked paths' score below which a path is left out.
-AGAINST, ARTICLE, FAR = 0.0005, 4.0, 0.06
+#: Factors of a path's score for names that speak against it and for articles; parts of the page's mean score that marks a block, and of the marked paths' best below which a path is left out.
+AGAINST, ARTICLE, LIMIT, FAR = 0.0005, 4.0, 0.6, 0.06
 _PUNCTUATION = frozenset(",.;:!?，。；：！？、؟،")
 
 
@@ -183,12 +183,16 @@ def path_scores(blocks: list[Block]) -> list[float]:
 
 
 def marked(blocks: list[Block], raw: list[float]) -> list[bool]:
-    """Which blocks pass: their paths' scores, smoothed along the page, against the deviation of the scores."""
+    """Which blocks pass: their paths' scores, by themselves and smoothed along the page, against the mean score of the page's text.
+
+    The mean weighs blocks by their length: short blocks (menus, notices, headings) hardly move it, however many there are. At
+    least the best score passes, if it isn't 0.
+    """
     kernel = (0.25, 0.5, 0.25)
     smooth = [sum(k * raw[min(max(i + d, 0), len(raw) - 1)] for k, d in zip(kernel, (-1, 0, 1), strict=True)) for i in range(len(raw))]
-    mean = sum(smooth) / len(smooth)
-    limit = min(math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)), max(smooth))
-    return [x >= limit and r > 0 and r >= FAR * max(raw) for x, r in zip(smooth, raw, strict=True)]
+    limit = LIMIT * sum(r * len(b.text) for b, r in zip(blocks, raw, strict=True)) / sum(len(b.text) for b in blocks)
+    best = max(raw)
+    return [r > 0 and (r == best or min(x, r) >= limit) for x, r in zip(smooth, raw, strict=True)]
 
 
 def _up(above: tuple) -> Iterator[int]:
@@ -220,10 +224,11 @@ def main_text(page: str | None) -> str:
         # where all of it is inside an element with such a name, the names say nothing
         return "\n".join(kept or [b.text for i, b in enumerate(blocks) if b.main in mains and near(i)])
     first, last = chosen.index(True), len(chosen) - 1 - chosen[::-1].index(True)
-    common = list(_up(blocks[first].above))
+    around = lambda b: b.above[0] if len(b.above) > 1 else b.above
+    common = list(_up(around(blocks[first])))
     for b, c in zip(blocks, chosen, strict=True):
         if c:
-            known = set(_up(b.above))
+            known = set(_up(around(b)))
             common = [x for x in common if x in known]
     inside = lambda b: common[0] in set(_up(b.above))
     # what follows on the marked blocks' paths belongs to them, however short
