@@ -1,3 +1,4 @@
+import math
 import re
 from collections import defaultdict
 
@@ -82,3 +83,39 @@ def test_repeated_rows_take_their_share(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = mixing.mixed(docs, "doc_id", "source", "text").groupBy("source").count().collect()
     assert {r.source: r["count"] for r in kept} == pytest.approx({"a": 1429, "b": 571}, abs=1)
+
+
+def test_targets_and_copies_by_brute_force(spark, sf_dir):
+    """Words counted by Python, targets by bisection of the common unit in place of rounds; copies are the rate rounded down or up."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text").collect()
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
+    sums = {}
+    for r in rows:
+        sums[r.source] = sums.get(r.source, 0) + size[r.doc_id]
+    order = sorted(sums, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    low, high = 0.0, 3.0 * sum(sums.values())
+    for _ in range(200):
+        unit = (low + high) / 2
+        low, high = (unit, high) if sum(min(3 * sums[s], unit * weight[s]) for s in order) < sum(sums.values()) else (low, unit)
+    target = {s: min(3 * sums[s], high * weight[s]) for s in order}
+    source, taken = {r.doc_id: r.source for r in rows}, dict.fromkeys(order, 0)
+    found = mixing.op9_mixing(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in found) == sorted(size)
+    for r in found:
+        s = source[r.doc_id]
+        rate = target[s] / sums[s] if sums[s] else 0
+        assert (r.size, r.source_size) == (size[r.doc_id], sums[s]) and abs(r.target - target[s]) <= 1e-6 * max(1, target[s])
+        assert r.taken in (math.floor(rate + 1e-9) * r.size, math.ceil(rate - 1e-9) * r.size)
+        taken[s] += r.taken
+    for s in order:
+        assert abs(taken[s] - target[s]) <= max(size[d] for d in size if source[d] == s)
+
+
+def test_source_of_one_giant_document(spark):
+    """It is taken a whole number of times, at most three; the other sources still come within one document of their targets."""
+    df = spark.createDataFrame([(0, "a", "w " * 200000)] + [(i, "b", "x y z") for i in range(1, 400)], "doc_id long, source string, text string")
+    size = F.regexp_count("text", F.lit(mixing.WORD))
+    found = mixing.mix(df, "doc_id", "source", size, "text").collect()
+    assert {r.copies for r in found if r.source == "a"} <= {0, 1, 2, 3} and sum(r.source == "a" for r in found) == 1
+    assert abs(sum(r.size * r.copies for r in found if r.source == "b") - next(r.target for r in found if r.source == "b")) <= 3
