@@ -10,7 +10,9 @@ one window is left; that is closed at powers of two, so that hardly any padding
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -28,9 +30,12 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 class _Chunks(dict):
-    """Ids, as little-endian unsigned 32-bit numbers, of chunks between white space, with a bound on what is kept: some 20 MB in a worker."""
+    """Ids, as little-endian unsigned 32-bit numbers, of chunks between white space, with a bound on what is kept: some 200 MB in a worker.
 
-    MOST, LONGEST = 60_000, 32
+    What was asked for lately stays: at MOST entries they become the old ones, and an old one that is asked for comes back.
+    """
+
+    MOST, LONGEST = 250_000, 32
 
     def __init__(self, path: str):
         import regex
@@ -43,27 +48,42 @@ class _Chunks(dict):
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(256) if not chr(i).isspace()}
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        parts = []
-        for word in self.split(chunk):
-            if (ids := self.words.get(word)) is None:
-                ids = np.array([t.id for t in self.model.tokenize(word.translate(self.bytes))], "<u4").tobytes()
-                if len(word) <= self.LONGEST:
-                    if len(self.words) >= self.MOST:
-                        self.words.clear()
-                    self.words[word] = ids
-            parts.append(ids)
-        out = b"".join(parts)
+        if (out := self.old.get(chunk)) is None:
+            if chunk.isalpha():
+                out = self._word(chunk)
+            elif chunk[:-1].isalpha() and chunk[-1] in ",.;:!?":
+                out = self._word(chunk[:-1]) + self._word(chunk[-1])
+            else:
+                out = b"".join(map(self._word, self.split(chunk)))
         if len(chunk) <= self.LONGEST:
             if len(self) >= self.MOST:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = out
         return out
 
+    def _word(self, word: str) -> bytes:
+        if (ids := self.words.get(word)) is not None:
+            return ids
+        if (ids := self.old_words.get(word)) is None:
+            plain = word if word.isascii() and word.isprintable() else word.translate(self.bytes)
+            ids = array("I", [t.id for t in self.model.tokenize(plain)])
+            if sys.byteorder == "big":
+                ids.byteswap()
+            ids = ids.tobytes()
+        if len(word) <= self.LONGEST:
+            if len(self.words) >= self.MOST:
+                self.old_words, self.words = self.words, {}
+            self.words[word] = ids
+        return ids
+
 
 #: Characters for which the vocabulary's normaliser does more, or splits otherwise, than lower() and split() do.
-_ODD = frozenset("\x1c\x1d\x1e\x1f")
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 @lru_cache(maxsize=2)
@@ -82,7 +102,7 @@ def word_bpe(path: str) -> Callable[[str], bytes]:
         known = _chunks(path)
         try:
             text.encode("latin-1")
-            plain = "<|" not in text and not _ODD.intersection(text)
+            plain = "<|" not in text and not any(c in text for c in _ODD)
         except UnicodeEncodeError:
             plain = False
         if plain:

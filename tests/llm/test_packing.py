@@ -21,6 +21,19 @@ def test_cached_ids_are_the_librarys(text):
     assert np.frombuffer(packing.word_bpe(packing.vocabulary())(text), "<u4").tolist() == whole
 
 
+def test_words_asked_for_lately_stay_known(monkeypatch):
+    """More words than the cache takes: those in use aren't tokenised again when it is full."""
+    monkeypatch.setattr(packing._Chunks, "MOST", 8)
+    known, asked = packing._Chunks(packing.vocabulary()), []
+    model = known.model
+    known.model = type("Counted", (), {"tokenize": lambda self, word: asked.append(word) or model.tokenize(word)})()
+    whole = Tokenizer.from_file(packing.vocabulary())
+    for i in range(60):
+        for chunk in ("the", "\x01\x7f", f"w{chr(97 + i % 26)}{chr(97 + i // 26)},"):
+            assert np.frombuffer(known[chunk], "<u4").tolist() == whole.encode(chunk, add_special_tokens=False).ids
+    assert asked.count("the") == 1 and max(map(len, (known, known.old, known.words, known.old_words))) <= 8
+
+
 def holds(rows, documents, window):
     tokenizer = Tokenizer.from_file(packing.vocabulary())
     by_doc, by_seq = defaultdict(list), defaultdict(list)
