@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import jaccard
@@ -125,3 +126,31 @@ def test_many_blocks(spark, monkeypatch):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(df, "doc_id", "text").collect()}
     assert found == brute(texts)
+
+
+def test_blocks_of_one_group_repeat_no_edges():
+    """A large group of near copies makes about an edge a set, into however many blocks it is cut."""
+    rng, n, blocks = np.random.default_rng(1), 400, 8
+    sketch = np.tile(rng.integers(0, 256, jaccard.POSITIONS, np.uint8), (n, 1))
+    sketch[np.arange(n), rng.integers(0, jaccard.POSITIONS, n)] ^= 1
+    sketch[: n // 2] ^= 255  # two groups that aren't alike
+    made = []
+    for pair, (i, j) in enumerate((i, j) for i in range(blocks) for j in range(i, blocks)):
+        sets = np.flatnonzero(np.isin(np.arange(n) % blocks, (i, j)))
+        rows = {"node": np.zeros(len(sets), np.int64), "pair": np.full(len(sets), pair), "side": sets % blocks, "set_id": sets, "sketch": [sketch[s].tobytes() for s in sets]}
+        made += list(jaccard._compare_sketches(0.6)(iter([pa.RecordBatch.from_pydict(rows)])))
+    edges = [e for b in made for e in zip(*b.to_pydict().values(), strict=True)]
+    assert len(jaccard.spanning(edges)) == n - 2 and all((a < n // 2) == (b < n // 2) for a, b in edges)
+    assert len(edges) <= n + 2 * blocks * blocks
+
+
+def test_edges_across_connect_all_that_is_linked():
+    rng = np.random.default_rng(2)
+    for m in range(2, 40):
+        links = rng.random((m, m)) < 1.2 / m
+        links |= links.T
+        near, n = lambda i, others, links=links: links[i, others], m // 2
+        halves = [e for e in jaccard.forest(n, near)] + [(i + n, j + n) for i, j in jaccard.forest(m - n, lambda i, o, links=links, n=n: links[i + n, o + n])]
+        found = jaccard.across(n, m, near)
+        assert all(links[i, j] and i < n <= j for i, j in found)
+        assert len(jaccard.spanning(halves + found)) == len(jaccard.spanning([tuple(e) for e in np.argwhere(links).tolist() if e[0] != e[1]]))
