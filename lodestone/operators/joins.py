@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.slices import SUM, running
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: dict[str, str]) -> DataFrame:
     """Each row of left with the latest row of right for the same `by` that isn't later.
@@ -48,6 +50,21 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return p.join(r, ["_level", "_cell"]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_level", "_cell")
 
 
+def range_counts(points: DataFrame, ranges: DataFrame, key: str, point: str, low: str, high: str) -> DataFrame:
+    """(key, n): how many points with low <= point < high the ranges of each key have together, where there are any; all numeric.
+
+    No pair is made: n is the points below the high ends less those below the low ones, and both are prefix sums over the sorted
+    values (slices.running). The work grows with points and ranges, however many of them meet. Nulls, empty and turned ranges match nothing.
+    """
+    found = points.where(F.col(point).isNotNull()).groupBy(F.col(point).alias("_at")).agg(F.count("*").alias("_points"))
+    kept = ranges.where(F.col(low) < F.col(high))
+    ends = [kept.select(F.col(c).alias("_at"), F.col(key).alias("_key"), F.lit(sign).alias("_sign")) for c, sign in ((low, -1), (high, 1))]
+    both = found.unionByName(ends[0].unionAll(ends[1]), allowMissingColumns=True).select(F.lit(0).alias("_all"), "*", F.col("_points").isNotNull().alias("_is_point"))
+    # an end comes before the points of its own value
+    below = running(both, ["_all"], ["_at", "_is_point"], {"_below": ("_points", SUM)}).where("NOT _is_point")
+    return below.groupBy(F.col("_key").alias(key)).agg(F.sum(F.col("_sign") * F.coalesce("_below", F.lit(0).cast("long"))).alias("n")).where("n > 0")
+
+
 def salted_join(facts: DataFrame, keys: DataFrame, key: str, salts: int) -> DataFrame:
     """Inner equality join in which each key's fact rows go to up to `salts` tasks; keys rows are repeated that often."""
     spread = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators.joins import asof_join, range_join, salted_join
+from lodestone.operators.joins import asof_join, range_counts, range_join, salted_join
 from lodestone.plans import batch
 from lodestone.streaming import runs
 
@@ -37,6 +37,18 @@ def test_range_join_with_ranges_of_any_width(spark):
     assert range_join(points, ranges.limit(0), "p", "lo", "hi", 1.0).count() == 0
 
 
+def test_range_counts_make_no_pairs(spark):
+    """Ties, repeated keys, infinite and odd ranges; and a result of 10^12 pairs, counted."""
+    inf, nan = float("inf"), float("nan")
+    points = spark.createDataFrame([(x,) for x in [-inf, -3.0, -0.0, 0.0, 0.0, 2.5, 2.5, 1e12, None, inf, nan]], "p double")
+    ranges = spark.createDataFrame([("all", -inf, inf), ("same", 0.0, 2.5), ("same", 0.0, 3.0), ("nan", -inf, nan), ("far", 7.0, 8.0), ("empty", 3.0, 3.0), ("turned", 4.0, 1.0), ("none", None, 1.0), (None, -5.0, -0.0)], "name string, lo double, hi double")
+    found = {(r.name, r.n) for r in range_counts(points, ranges, "name", "p", "lo", "hi").collect()}
+    assert found == {(r.name, r["count"]) for r in points.join(ranges, (F.col("p") >= F.col("lo")) & (F.col("p") < F.col("hi"))).groupBy("name").count().collect()}
+    assert range_counts(points, ranges.limit(0), "name", "p", "lo", "hi").count() == 0 == range_counts(points.limit(0), ranges, "name", "p", "lo", "hi").count()
+    many = spark.range(1_000_000).select(F.col("id").alias("p"), (F.col("id") % 4).alias("k"), F.lit(0).alias("lo"), F.lit(1_000_000).alias("hi"))
+    assert {tuple(r) for r in range_counts(many, many, "k", "p", "lo", "hi").collect()} == {(k, 250_000_000_000) for k in range(4)}
+
+
 def test_salted_join_equals_plain(spark):
     facts, keys = spark.range(500).select("id", F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k")), spark.range(0, 500, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     assert sorted(map(tuple, salted_join(facts, keys, "k", 5).select("id", "k", "v").collect())) == sorted(map(tuple, facts.join(keys, "k").select("id", "k", "v").collect()))
