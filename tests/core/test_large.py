@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -90,6 +91,17 @@ def test_overlap_join(spark, sweep):
     assert overlaps.overlap_join(left, right.where("false"), "i", "i", "lo", "hi", 1.0).count() == 0
 
 
+def test_equal_intervals_are_swept_once(spark):
+    """Nine million pairs of two intervals leave the sweep as lists, in few rows; Spark unfolds them."""
+    rows = spark.range(3000).select("id", F.lit(1).alias("lo"), F.lit(3).alias("hi"))
+    found = overlaps.overlap_join(rows, rows, "id", "id", "lo", "hi", 1.0)
+    assert "FlatMapCoGroups" not in plan(found)
+    assert tuple(found.agg(F.count("*"), F.sum("left_id"), F.min("start"), F.max("end")).first()) == (9_000_000, 3000 * 2999 * 3000 // 2, 1.0, 3.0)
+    table = pa.table({"cell": pa.array([0] * 8), "side": pa.array([0] * 4 + [1] * 4), "id": list(range(8)), "lo": [1.0] * 8, "hi": [3.0] * 8, "first": [0] * 8, "home": [True] * 8})
+    made = [b for b in overlaps._sweep(["cell"])(iter(table.to_batches())) if b.num_rows]
+    assert [b.to_pylist() for b in made] == [[{"left_ids": [0, 1, 2, 3], "right_ids": [4, 5, 6, 7], "start": 1.0, "end": 3.0}]]
+
+
 def test_plans(spark, sf_dir):
     for f in (large.overlapping_orders, large.near_suppliers):
         text = plan(f(spark, sf_dir))
