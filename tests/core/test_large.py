@@ -102,6 +102,17 @@ def test_equal_intervals_are_swept_once(spark):
     assert [b.to_pylist() for b in made] == [[{"left_ids": [0, 1, 2, 3], "right_ids": [4, 5, 6, 7], "start": 1.0, "end": 3.0}]]
 
 
+def test_many_small_keys_are_swept_together():
+    """A sweep takes a batch's groups at once, however many, and a group that goes on over batches whole."""
+    n = 5000
+    table = pa.table({"by": [i // 2 for i in range(2 * n)], "side": pa.array([i % 2 for i in range(2 * n)]), "id": list(range(2 * n)), "lo": [float(i % 7) for i in range(2 * n)], "hi": [float(i % 7 + 2) for i in range(2 * n)], "first": [0] * 2 * n, "cell": [0] * 2 * n, "home": [True] * 2 * n})
+    want = [([i], [i + 1]) for i in range(0, 2 * n, 2) if i % 7 != 6]
+    for rows, most in ((2 * n, 4), (3, 4 * n)):
+        made = list(overlaps._sweep(["by"])(iter(table.to_batches(rows))))
+        assert sorted((r["left_ids"], r["right_ids"]) for b in made for r in b.to_pylist()) == want
+        assert len(made) <= most
+
+
 def test_plans(spark, sf_dir):
     for f in (large.overlapping_orders, large.near_suppliers):
         text = plan(f(spark, sf_dir))
