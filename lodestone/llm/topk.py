@@ -2,7 +2,7 @@
 
 Every vector is a sparse row of (dimension, weight) pairs. The candidates are cut into blocks; a
 block keeps one postings list per dimension. A query scatters its weights times a dimension's
-postings into one dense score array, a dimension after the other; a partition selection takes the
+postings into one dense score array, a dimension after the other, for some queries at a time; a partition selection takes the
 block's best, and a merge over the blocks gives the result. Queries are cut into blocks as well
 and meet candidate blocks by an equality join on block numbers, so that no task holds more than
 one block of each and nothing is broadcast.
@@ -56,13 +56,23 @@ def _pack(block_rows: int):
     return run
 
 
+#: A list that holds at least one in so many rows is kept for all rows, with zeros.
+FULL = 8
+
+
 def _postings(n: int, rows: np.ndarray, dims: np.ndarray, weights: np.ndarray) -> dict[int, tuple[np.ndarray | slice, np.ndarray]]:
-    """(rows, weights) of each dimension; a list that holds all n rows gets a slice for its rows."""
+    """(rows, weights) of each dimension; a list that holds many of the n rows gets a slice for its rows and a weight for each of them."""
     order = np.argsort(dims, kind="stable")
     rows, dims, weights = rows[order].astype(np.intp), dims[order], weights[order]
     at = np.flatnonzero(np.diff(dims, prepend=-1))
-    ends = np.append(at[1:], len(dims))
-    return {int(dims[a]): (rows[a:b] if b - a < n else slice(None), weights[a:b]) for a, b in zip(at, ends, strict=True)}
+    out = {}
+    for a, b in zip(at, np.append(at[1:], len(dims)), strict=True):
+        out[int(dims[a])] = rows[a:b], weights[a:b]
+        if FULL * (b - a) >= n:
+            held = np.zeros(n, weights.dtype)
+            held[rows[a:b]] = weights[a:b]
+            out[int(dims[a])] = slice(None), held
+    return out
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -76,23 +86,70 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(scores))
 
 
+#: Queries of a block whose score arrays are filled together.
+TILE = 64
+
+
+def _number(weights: np.ndarray, q_rows: np.ndarray, q_weights: np.ndarray) -> type:
+    """The narrowest type that holds all inner products and their parts exactly: 4-byte floats, 8-byte floats or longs."""
+    if not len(weights) or not len(q_weights):
+        return np.float32
+    bound = np.bincount(q_rows, np.abs(q_weights.astype(np.float64))).max() * np.abs(weights.astype(np.float64)).max()
+    return np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 52 else np.int64
+
+
+def _accumulated(lists: dict[int, tuple[np.ndarray | slice, np.ndarray]], n: int, queries: int, rows: np.ndarray, dims: np.ndarray, weights: np.ndarray, number: type) -> np.ndarray:
+    """Score arrays of some queries over n candidates: their weights times the postings, a dimension after the other.
+
+    Lists that are kept for all candidates are added in one product of dense arrays.
+    """
+    scores, order = np.zeros((queries, n), number), np.argsort(dims, kind="stable")
+    rows, dims, weights = rows[order], dims[order], weights[order].astype(number)
+    at = np.flatnonzero(np.diff(dims, prepend=-1))
+    terms = [(slice(a, b), *lists[int(dims[a])]) for a, b in zip(at, np.append(at[1:], len(dims)), strict=True) if int(dims[a]) in lists]
+    whole = [t for t in terms if isinstance(t[1], slice)]
+    if whole:
+        dense = np.zeros((queries, len(whole)), number)
+        for i, (own, _, _) in enumerate(whole):
+            dense[rows[own], i] = weights[own]
+        scores += dense @ np.stack([held for _, _, held in whole])
+    for own, found, held in terms:
+        if not isinstance(found, slice):
+            scores[rows[own][:, None], found] += weights[own][:, None] * held  # a row occurs once in a list
+    return scores
+
+
+def _best_of(scores: np.ndarray, ids: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, place) of each query's k highest scores, ties to smaller ids, without its own id."""
+    if scores.dtype == np.int64:
+        found = [(other := np.flatnonzero(ids != q_id))[_best(row[other], ids[other], k)] for row, q_id in zip(scores, q_ids, strict=True)]
+        return np.repeat(np.arange(len(q_ids)), [len(f) for f in found]), np.concatenate(found)
+    scores[ids == q_ids[:, None]] = -np.inf
+    least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q_ids), -np.inf)
+    query, place = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+    order = np.lexsort((ids[place], -scores[query, place], query))
+    query, place = query[order], place[order]
+    first = np.searchsorted(query, query)
+    kept = np.arange(len(query)) - first < k
+    return query[kept], place[kept]
+
+
 def _search(k: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, lists, kind = None, {}, None
         for part in parts:
             for row in part.itertuples(index=False):
-                ids, q_ids = np.asarray(row.ids), np.asarray(row.q_ids)
-                lists = _postings(len(ids), np.asarray(row.rows), np.asarray(row.dims), np.asarray(row.weights))
+                ids, q_ids, weights = np.asarray(row.ids), np.asarray(row.q_ids), np.asarray(row.weights)
                 q_rows, q_dims, q_weights = np.asarray(row.q_rows), np.asarray(row.q_dims), np.asarray(row.q_weights)
-                bounds = np.searchsorted(q_rows, np.arange(len(q_ids) + 1))
+                number = _number(weights, q_rows, q_weights)
+                if (known, kind) != (row.block, number):
+                    known, kind, lists = row.block, number, _postings(len(ids), np.asarray(row.rows), np.asarray(row.dims), weights.astype(number))
                 out = []
-                for q, q_id in enumerate(q_ids):
-                    scores = np.zeros(len(ids), np.int64)
-                    for t in range(bounds[q], bounds[q + 1]):
-                        if (found := lists.get(int(q_dims[t]))) is not None:
-                            scores[found[0]] += q_weights[t] * found[1]  # a row occurs once in a list
-                    other = np.flatnonzero(ids != q_id)
-                    best = other[_best(scores[other], ids[other], k)]
-                    out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[best], "score": scores[best]}))
+                for q in range(0, len(q_ids), TILE):
+                    own, (a, b) = q_ids[q : q + TILE], np.searchsorted(q_rows, [q, q + TILE])
+                    scores = _accumulated(lists, len(ids), len(own), q_rows[a:b] - q, q_dims[a:b], q_weights[a:b], number)
+                    query, place = _best_of(scores, ids, own, k)
+                    out.append(pd.DataFrame({"query_id": own[query], "vec_id": ids[place], "score": scores[query, place].astype(np.int64)}))
                 if out:
                     yield pd.concat(out)
 
@@ -117,7 +174,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, block_rows: int = 4
     lanes = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     c = c.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)))
     q = q.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    found = c.join(q, "lane").drop("lane", "block", "q_block").mapInPandas(_search(k), "query_id long, vec_id long, score long")
+    found = c.join(q, "lane").drop("lane", "q_block").mapInPandas(_search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -32,3 +32,24 @@ def test_odd_rows(spark):
     found = topk.top_k(good.where("id % 50 = 0"), good, 5)
     assert [tuple(r) for r in found.where("query_id = 0").orderBy("rank").collect()] == [(0, 1, 50, 20480), (0, 2, 3, 0), (0, 3, 2, -128)]
     assert topk.top_k(good.limit(0), good, 5).count() == 0 == topk.top_k(good, good.limit(0), 5).count()
+
+
+@pytest.mark.parametrize("size,number", [(100, np.float32), (1 << 20, np.float64), (1 << 29, np.int64)])
+def test_queries_are_scored_together_and_exactly(spark, size, number):
+    """Weights of any size, dense and sparse dimensions, many ties: the type that is used holds each score exactly."""
+    rng = np.random.default_rng(size)
+    rows = rng.integers(-size, size + 1, (90, 6))
+    rows[:, 3:] *= rng.integers(0, 2, (90, 3))
+    rows[:, 0] |= 1
+    rows[:60, 5] = 0
+    rows[40:70] = rows[40]
+    vectors = {i: v.tolist() for i, v in enumerate(rows)}
+    df = spark.createDataFrame(list(vectors.items()), "id long, v array<long>").repartition(2)
+    found = topk.top_k(df, df, 5, block_rows=32, query_rows=80).collect()
+    assert sorted(map(tuple, found)) == brute(vectors, vectors, 5)
+    ids, at = np.repeat(np.arange(90), 6), np.tile(np.arange(6), 90)
+    assert topk._number(rows.ravel(), ids, rows.ravel()) is number
+    some = rows.ravel() != 0
+    lists = topk._postings(90, ids[some], at[some], rows.ravel()[some].astype(number))
+    assert all(isinstance(lists[d][0], slice) for d in range(5))  # zeros don't make a list sparse, but where few are left
+    assert (topk._accumulated(lists, 90, 90, ids, at, rows.ravel(), number).astype(np.int64) == rows @ rows.T).all()
