@@ -113,6 +113,20 @@ def test_many_small_keys_are_swept_together():
         assert len(made) <= most
 
 
+def test_keys_of_few_intervals_are_not_copied(spark, monkeypatch):
+    """A key with few intervals is one sweep: no cells are counted for it, and each interval goes there once; crowded keys have theirs."""
+    tags, write = [], overlaps.materialise
+    monkeypatch.setattr(overlaps, "materialise", lambda df, tag: tags.append(tag) or write(df, tag))
+    left = spark.range(400).selectExpr("id", "id % 40 AS k", "id AS lo", "id + IF(id % 3 = 0, 1, 900) AS hi")
+    want = sorted((i, j) for i in range(400) for j in range(400) if i % 40 == j % 40 and i < j + (1 if j % 3 == 0 else 900) and j < i + (1 if i % 3 == 0 else 900))
+    assert sorted((x.left_id, x.right_id) for x in overlaps.overlap_join(left, left, "id", "id", "lo", "hi", 1.0, ["k"]).collect()) == want
+    assert "cells" not in tags
+    tags.clear()
+    more = spark.range(400, 405).selectExpr("id", "7L AS k", "2000L AS lo", "2001L AS hi")
+    found = overlaps.overlap_join(left.unionAll(more), left, "id", "id", "lo", "hi", 1.0, ["k"], 12).collect()
+    assert sorted((x.left_id, x.right_id) for x in found) == want and "cells" in tags
+
+
 def test_plans(spark, sf_dir):
     for f in (large.overlapping_orders, large.near_suppliers):
         text = plan(f(spark, sf_dir))
