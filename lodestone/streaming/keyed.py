@@ -6,6 +6,7 @@ import time
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -26,7 +27,7 @@ def in_batches(df: DataFrame, at: str, batches: int, jitter_seconds: int = 0, ke
     step = ((last or 0) - (first or 0)) / batches or 1
     cut = df.withColumn("_batch", F.least(F.lit(batches - 1), F.floor((late - F.lit(first)) / step)))
     for i in range(batches):  # files are read in the order of their times
-        cut.where(F.col("_batch") == i).drop("_batch").coalesce(1).write.mode("append").parquet(path)
+        cut.where(F.col("_batch") == i).drop("_batch").repartition(1).write.mode("append").parquet(path)
         time.sleep(0.01)
     return path
 
@@ -37,74 +38,72 @@ def stream_of(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 class IdleSessions(StatefulProcessor):
-    """A key's sessions: rows less than `gap` apart; a session is closed by an event-time timer when the watermark passes its end.
+    """Sessions of a bucket's users: rows less than `gap` apart; an event-time timer closes them when the watermark passes their ends.
 
-    State: the starts and ends of open sessions (a list, as late rows may open one before another or join two), and their rows by
-    type (a map). Both are cleared when the last open session is closed, so that idle keys keep no state.
+    State: a table of the users' open sessions, a row per type in them, in Arrow's format as one value. Rows of a batch are merged with it together, as late rows may open a session before
+    another or join two. A bucket has one timer, for the end of what ends first; that closes all that the watermark has passed, and a bucket without
+    open sessions keeps no state. No call and no timer thus belongs to a single user or session.
     """
 
+    COLUMNS = ["user_id", "start", "end", "type", "n"]
+
     def __init__(self, gap_seconds: int):
         self.gap = gap_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "start long, end long")
-        self.types = handle.getMapState("types", "start long, type string", "n long")
+        self.open = handle.getValueState("open", "sessions binary")
+
+    def _state(self) -> pd.DataFrame:
+        return pa.ipc.open_stream(bytes(self.open.get()[0])).read_pandas() if self.open.exists() else pd.DataFrame(columns=self.COLUMNS)
 
-    def _timer(self, sessions: list[tuple[int, int]]) -> None:
+    def _put(self, rows: pd.DataFrame) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        for _, end in sessions:
-            self.handle.registerTimer(end + self.gap)
+        if len(rows):
+            table = pa.Table.from_pandas(rows[self.COLUMNS], preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            self.open.update((sink.getvalue().to_pybytes(),))
+            self.handle.registerTimer(int(rows["end"].min()) + self.gap)
+        else:
+            self.open.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        sessions = [(int(s), int(e)) for s, e in self.open.get()] if self.open.exists() else []
-        counts = {(int(k[0]), k[1]): int(v[0]) for k, v in self.types.iterator()} if self.types.exists() else {}
-        for part in rows:
-            for at, kind in zip(part["at"].tolist(), part["type"].tolist(), strict=True):
-                near = [s for s in sessions if s[0] - self.gap < at < s[1] + self.gap]
-                start = min([at, *[s for s, _ in near]])
-                merged = {(start, kind): 1}
-                for (s, k), n in list(counts.items()):
-                    if s in {x for x, _ in near}:
-                        merged[start, k] = merged.get((start, k), 0) + n
-                        del counts[s, k]
-                counts |= merged
-                sessions = [s for s in sessions if s not in near] + [(start, max([at, *[e for _, e in near]]))]
-        self._put(sessions, counts)
-        yield pd.DataFrame(columns=["user_id", "start", "end", "n", "kinds"])
-
-    def _put(self, sessions: list[tuple[int, int]], counts: dict[tuple[int, str], int]) -> None:
-        self.open.clear()
-        self.types.clear()
-        if sessions:
-            self.open.put(sorted(sessions))
-            for k, n in counts.items():
-                self.types.updateValue(k, (n,))
-        self._timer(sessions)
+        new = [pd.DataFrame({"user_id": p["user_id"], "start": p["at"], "end": p["at"], "type": p["type"], "n": 1}) for p in rows]
+        old = self._state()
+        every = pd.concat([old, *new] if len(old) else new).sort_values(["user_id", "start"], ignore_index=True)
+        reached = every.groupby("user_id")["end"].cummax().shift(fill_value=0)
+        session = ((every["user_id"] != every["user_id"].shift()) | (every["start"] - reached >= self.gap)).cumsum()
+        every["start"], every["end"] = every.groupby(session)["start"].transform("min"), every.groupby(session)["end"].transform("max")
+        self._put(every.groupby(self.COLUMNS[:4], as_index=False, sort=False)["n"].sum())
+        return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        sessions = [(int(s), int(e)) for s, e in self.open.get()] if self.open.exists() else []
-        counts = {(int(k[0]), k[1]): int(v[0]) for k, v in self.types.iterator()} if self.types.exists() else {}
-        over = [s for s in sessions if s[1] + self.gap <= now]
-        out = [(key[0], s, e, sum(n for (x, _), n in counts.items() if x == s), len({k for x, k in counts if x == s})) for s, e in over]
-        gone = {s for s, _ in over}
-        self._put([s for s in sessions if s not in over], {k: n for k, n in counts.items() if k[0] not in gone})
-        yield pd.DataFrame(out, columns=["user_id", "start", "end", "n", "kinds"])
+        rows = self._state()
+        over = rows["end"] + self.gap <= timerValues.getCurrentWatermarkInMs()
+        self._put(rows[~over])
+        if over.any():
+            yield rows[over].groupby(["user_id", "start", "end"], as_index=False).agg(n=("n", "sum"), kinds=("type", "nunique"))
 
     def close(self) -> None:
         pass
 
 
-def idle_sessions(stream: DataFrame, gap_seconds: int, late: str) -> DataFrame:
+#: Buckets of users, whose state is read and written together.
+USER_BUCKETS = 256
+
+
+def idle_sessions(stream: DataFrame, gap_seconds: int, late: str, buckets: int = USER_BUCKETS) -> DataFrame:
     """Closed sessions of users (user_id, start, end: of its last event, in ms, n, kinds: different types); start under PROCESSOR_STORE.
 
     stream: user_id, event_type, ts (timestamp). Spark drops rows that are later than the watermark of the batch before; those of a null
-    user or time are left out.
+    user or time are left out. A bucket's rows of a micro-batch and its open sessions are in memory at a time: take more buckets for more users.
     """
-    rows = stream.where("user_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).select("user_id", F.unix_millis("ts").alias("at"), F.coalesce("event_type", F.lit("")).alias("type"), "ts")
-    return rows.groupBy("user_id").transformWithStateInPandas(IdleSessions(gap_seconds), "user_id long, start long, end long, n long, kinds long", "Append", "EventTime")
+    rows = stream.where("user_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).select(F.col("user_id").cast("long").alias("user_id"), F.unix_millis("ts").alias("at"), F.coalesce("event_type", F.lit("")).alias("type"), "ts")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)))
+    return rows.groupBy("bucket").transformWithStateInPandas(IdleSessions(gap_seconds), "user_id long, start long, end long, n long, kinds long", "Append", "EventTime")
 
 
 class Balances(StatefulProcessor):

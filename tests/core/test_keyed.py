@@ -1,7 +1,7 @@
 """Timers, time to live, initial state and the join of two streams: rows out of order over several micro-batches, nulls, no rows."""
 
 import time
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 
@@ -85,3 +85,14 @@ def test_interval_join(spark, tmp_path, how):
     found = [r for r in out if r[0] != 12 and r[0] != 4]  # 12 is open yet
     assert sorted(found, key=repr) == sorted(pairs + alone, key=repr)
     assert ((4, None) in out) == (how == "left") and max(state) > state[-1]
+
+
+def test_state_of_idle_sessions_is_by_bucket(spark, tmp_path):
+    """Users and their sessions share the state rows and timers of their buckets, and come out as they would alone."""
+    users = range(1500)
+    batches = [[(u, "ab"[u % 2], h + u % 3, 1) for u in users for h in (0, 1, 10, 20)], [(u, "c", 9 + u % 3, 1) for u in users], [(9999, "z", 200, 1)], [(9999, "z", 200, 1)]]
+    out, state = run(keyed.idle_sessions(source(spark, tmp_path, batches), 2 * 3600, "30 hours"))
+    hour = lambda ms: (ms - START.replace(tzinfo=timezone.utc).timestamp() * 1000) / 3600_000
+    want = [(u, h + u % 3, h + u % 3 + more, n, kinds) for u in users for h, more, n, kinds in ((0, 1, 2, 1), (9, 1, 2, 2), (20, 0, 1, 1))]
+    assert sorted((u, hour(s), hour(e), n, k) for u, s, e, n, k in out) == want
+    assert max(state) < len(users)
