@@ -3,9 +3,10 @@
 Every vector is a sparse row of (dimension, weight) pairs. The candidates are cut into blocks; a
 block keeps one postings list per dimension. A query scatters its weights times a dimension's
 postings into one dense score array, a dimension after the other, for some queries at a time; a partition selection takes the
-block's best, and a merge over the blocks gives the result. Queries are cut into blocks as well
-and meet candidate blocks by an equality join on block numbers, so that no task holds more than
-one block of each and nothing is broadcast.
+block's best, and a merge over the blocks gives the result. Queries are cut into blocks as well.
+Candidate blocks are dealt to lanes and query blocks to shares; each pair of a lane and a share is
+a group that one task reads in order: the share's queries (some 64 MB), then one candidate block after the
+other. Nothing is joined or broadcast.
 """
 
 from __future__ import annotations
@@ -19,7 +20,17 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import python_batches, table
 
-_BLOCK = "block long, ids array<long>, rows array<int>, dims array<int>, weights array<long>"
+_BLOCK = "block long, ids array<long>, sizes binary, dims binary, weights binary"
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest type that holds them all, after that type's letter."""
+    kind = next(t for t in "bhiq" if not len(x) or np.iinfo(t).min <= x.min() and x.max() <= np.iinfo(t).max)
+    return kind.encode() + x.astype(f"<{kind}").tobytes()
+
+
+def _wide(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(data, f"<{chr(data[0])}", offset=1).astype(kind)
 
 
 def quantised(df: DataFrame, vector: str, scale: int = 256) -> DataFrame:
@@ -30,7 +41,7 @@ def quantised(df: DataFrame, vector: str, scale: int = 256) -> DataFrame:
 
 
 def _pack(block_rows: int):
-    """Pack a partition's rows into blocks: ids, and the weights that aren't 0 as (row, dimension, weight)."""
+    """Pack a partition's rows into blocks: ids, the number of weights that aren't 0 in each row, and these with their dimensions."""
 
     def packed(cut: pd.DataFrame, number: int) -> pd.DataFrame:
         lengths = np.fromiter(map(len, cut["v"]), np.int64, len(cut))
@@ -38,7 +49,7 @@ def _pack(block_rows: int):
         rows = np.repeat(np.arange(len(cut)), lengths)
         dims = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         some = flat != 0
-        return pd.DataFrame({"block": [number], "ids": [cut["id"].to_numpy(np.int64)], "rows": [rows[some].astype(np.int32)], "dims": [dims[some].astype(np.int32)], "weights": [flat[some]]})
+        return pd.DataFrame({"block": [number], "ids": [cut["id"].to_numpy(np.int64)], "sizes": [_narrow(np.bincount(rows[some], minlength=len(cut)))], "dims": [_narrow(dims[some])], "weights": [_narrow(flat[some])]})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -75,17 +86,6 @@ def _postings(n: int, rows: np.ndarray, dims: np.ndarray, weights: np.ndarray) -
     return out
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        above = np.flatnonzero(scores > least)
-        equal = np.flatnonzero(scores == least)
-        equal = equal[np.argsort(ids[equal], kind="stable")[: k - len(above)]]
-        return np.concatenate((above, equal))
-    return np.arange(len(scores))
-
-
 #: Queries of a block whose score arrays are filled together.
 TILE = 64
 
@@ -119,43 +119,61 @@ def _accumulated(lists: dict[int, tuple[np.ndarray | slice, np.ndarray]], n: int
     return scores
 
 
-def _best_of(scores: np.ndarray, ids: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, place) of each query's k highest scores, ties to smaller ids, without its own id."""
-    if scores.dtype == np.int64:
-        found = [(other := np.flatnonzero(ids != q_id))[_best(row[other], ids[other], k)] for row, q_id in zip(scores, q_ids, strict=True)]
-        return np.repeat(np.arange(len(q_ids)), [len(f) for f in found]), np.concatenate(found)
-    scores[ids == q_ids[:, None]] = -np.inf
-    least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q_ids), -np.inf)
-    query, place = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+def _best_of(scores: np.ndarray, ids: np.ndarray, q_ids: np.ndarray, k: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, place) of each query's k highest scores that reach its bar, ties to smaller ids, without its own id. A query's k-th score raises its bar."""
+    own = ids == q_ids[:, None]
+    good = (scores >= bar[:, None].astype(scores.dtype)) & ~own
+    if len(ids) > k and np.count_nonzero(good) > 4 * k * len(q_ids):
+        others = np.where(own, LOWEST, scores).astype(scores.dtype) if own.any() else scores
+        good &= scores >= np.partition(others, len(ids) - k, axis=1)[:, len(ids) - k, None]
+    query, place = np.nonzero(good)
     order = np.lexsort((ids[place], -scores[query, place], query))
     query, place = query[order], place[order]
-    first = np.searchsorted(query, query)
-    kept = np.arange(len(query)) - first < k
-    return query[kept], place[kept]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    query, place = query[kept], place[kept]
+    last = np.flatnonzero(np.bincount(query, minlength=len(q_ids)) == k)
+    bar[last] = np.maximum(bar[last], scores[last, place[np.searchsorted(query, last, side="right") - 1]].astype(np.int64))
+    return query, place
+
+
+#: The bar of a query that has no k scores yet.
+LOWEST = np.iinfo(np.int64).min
 
 
 def _search(k: int):
+    """Rows sorted by (lane, share, side): a pair's query blocks are held, then each of its candidate blocks meets them all."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, lists, kind = None, {}, None
+        at, held = None, []
         for part in parts:
             for row in part.itertuples(index=False):
-                ids, q_ids, weights = np.asarray(row.ids), np.asarray(row.q_ids), np.asarray(row.weights)
-                q_rows, q_dims, q_weights = np.asarray(row.q_rows), np.asarray(row.q_dims), np.asarray(row.q_weights)
-                number = _number(weights, q_rows, q_weights)
-                if (known, kind) != (row.block, number):
-                    known, kind, lists = row.block, number, _postings(len(ids), np.asarray(row.rows), np.asarray(row.dims), weights.astype(number))
-                out = []
-                for q in range(0, len(q_ids), TILE):
-                    own, (a, b) = q_ids[q : q + TILE], np.searchsorted(q_rows, [q, q + TILE])
-                    scores = _accumulated(lists, len(ids), len(own), q_rows[a:b] - q, q_dims[a:b], q_weights[a:b], number)
-                    query, place = _best_of(scores, ids, own, k)
-                    out.append(pd.DataFrame({"query_id": own[query], "vec_id": ids[place], "score": scores[query, place].astype(np.int64)}))
+                if (row.lane, row.share) != at:
+                    at, held = (row.lane, row.share), []
+                ids, sizes, dims, weights = np.asarray(row.ids), _wide(row.sizes, np.int32), _wide(row.dims, np.int32), _wide(row.weights, np.int64)
+                rows = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+                if not row.side:
+                    held.append((ids, rows, dims, weights, np.full(len(ids), LOWEST)))
+                    continue
+                postings, out = {}, []
+                for q_ids, q_rows, q_dims, q_weights, bar in held:
+                    number = _number(weights, q_rows, q_weights)
+                    if number not in postings:
+                        postings[number] = _postings(len(ids), rows, dims, weights.astype(number))
+                    for q in range(0, len(q_ids), TILE):
+                        own, (a, b) = q_ids[q : q + TILE], np.searchsorted(q_rows, [q, q + TILE])
+                        scores = _accumulated(postings[number], len(ids), len(own), q_rows[a:b] - q, q_dims[a:b], q_weights[a:b], number)
+                        query, place = _best_of(scores, ids, own, k, bar[q : q + TILE])
+                        out.append(pd.DataFrame({"query_id": own[query], "vec_id": ids[place], "score": scores[query, place].astype(np.int64)}))
                 if out:
                     yield pd.concat(out)
 
     return run
 
 
+#: Candidate blocks of a lane, and query blocks of a share, where all are full.
+LANE, SHARE = 4, 64
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, block_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
     """The k candidates of highest integer inner product for each query; ties go to the smaller id.
 
@@ -167,14 +185,18 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, block_rows: int = 4
     spark = candidates.sparkSession
     python_batches(spark)
     live = "id IS NOT NULL AND v IS NOT NULL"
-    q = queries.where(live).select("id", "v").dropDuplicates(["id"]).mapInPandas(_pack(query_rows), _BLOCK)
-    q = q.select(F.col("block").alias("q_block"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "dims", "weights")])
-    c = candidates.where(live).select("id", "v").mapInPandas(_pack(block_rows), _BLOCK)
-    # candidate blocks go to a fixed number of lanes; each query block visits every lane once
-    lanes = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    c = c.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)))
-    q = q.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    found = c.join(q, "lane").drop("lane", "q_block").mapInPandas(_search(k), "query_id long, vec_id long, score long")
+    queries, candidates = (df.where(live).select("id", "v") for df in (queries, candidates))
+    most = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lanes = max(1, min(most, -(-candidates.count() // (LANE * block_rows))))
+    shares = max(1, -(-queries.count() // (SHARE * query_rows)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    q = queries.dropDuplicates(["id"]).mapInPandas(_pack(query_rows), _BLOCK).withColumn("share", dealt(shares)).withColumn("lane", every(lanes))
+    c = candidates.mapInPandas(_pack(block_rows), _BLOCK).withColumn("lane", dealt(lanes)).withColumn("share", every(shares))
+    both = q.withColumn("side", F.lit(0)).unionByName(c.withColumn("side", F.lit(1)))
+    # a task gets its blocks one by one, in order; a join could broadcast the copies, as Spark takes their size for that of the queries
+    both = both.repartition("lane", "share").sortWithinPartitions("lane", "share", "side")
+    found = both.mapInPandas(_search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -53,3 +53,22 @@ def test_queries_are_scored_together_and_exactly(spark, size, number):
     lists = topk._postings(90, ids[some], at[some], rows.ravel()[some].astype(number))
     assert all(isinstance(lists[d][0], slice) for d in range(5))  # zeros don't make a list sparse, but where few are left
     assert (topk._accumulated(lists, 90, 90, ids, at, rows.ravel(), number).astype(np.int64) == rows @ rows.T).all()
+
+
+def test_no_block_is_joined_or_broadcast(spark, monkeypatch):
+    """The copies of the queries' blocks go to lanes by a shuffle, however small Spark takes the queries for; lanes follow the candidates' number, and groups of queries theirs."""
+    rows = spark.range(400).selectExpr("id", "array(id % 7, id % 11, 3L) AS v")
+    vectors = {r.id: list(r.v) for r in rows.collect()}
+    for share in (64, 1):
+        monkeypatch.setattr(topk, "SHARE", share, raising=False)
+        found = topk.top_k(rows.where("id % 3 = 0"), rows, 5, block_rows=20, query_rows=10)
+        assert sorted(map(tuple, found.collect())) == brute({i: v for i, v in vectors.items() if i % 3 == 0}, vectors, 5)
+        text = found._jdf.queryExecution().toString()
+        assert "Join" not in text and "Broadcast" not in text
+    scores = np.array([[5, 9, 9, 1, 7, 7], [3, 3, 3, 3, 3, 3]])
+    for number in (np.float32, np.float64, np.int64):
+        bar = np.array([0, topk.LOWEST])
+        query, place = topk._best_of(scores.astype(number), np.array([6, 5, 4, 3, 2, 1]), np.array([4, 9]), 2, bar)
+        assert (query.tolist(), place.tolist(), bar.tolist()) == ([0, 0, 1, 1], [1, 5, 5, 4], [7, 3])
+        query, place = topk._best_of(scores.astype(number), np.array([6, 5, 4, 3, 2, 1]), np.array([4, 9]), 2, np.array([8, 4]))
+        assert (query.tolist(), place.tolist()) == ([0], [1])
