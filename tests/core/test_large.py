@@ -102,6 +102,22 @@ def test_equal_intervals_are_swept_once(spark):
     assert [b.to_pylist() for b in made] == [[{"left_ids": [0, 1, 2, 3], "right_ids": [4, 5, 6, 7], "start": 1.0, "end": 3.0}]]
 
 
+def test_equal_intervals_stay_in_one_block(spark, monkeypatch):
+    """Blocks of a crowded cell don't part equal intervals: a pair of intervals leaves the sweeps once, with all its ids; very many equal ones are parted."""
+    made, unfold = [], overlaps._unfolded
+    monkeypatch.setattr(overlaps, "_unfolded", lambda pairs, *more: made.append(pairs) or unfold(pairs, *more))
+    rows = spark.range(600).selectExpr("id", "id % 2 AS k", "id % 6 AS lo", "id % 6 + 8 AS hi")
+    for by, pairs in (([], 36), (["k"], 18)):
+        for equal in (1024, 10):
+            monkeypatch.setattr(overlaps, "EQUAL", equal, raising=False)
+            found = overlaps.overlap_join(rows, rows, "id", "id", "lo", "hi", 10.0, by, 200)
+            assert tuple(found.agg(F.count("*"), F.sum("left_id"), F.sum(F.col("end") - F.col("start"))).first()) == (pairs * 10_000, pairs * 10_000 * 599 // 2, 10_000 * sum(8 - abs(i - j) for i in range(6) for j in range(6) if not by or i % 2 == j % 2))
+            assert made[-1].count() == pairs if equal > 100 else made[-1].count() > pairs
+    monkeypatch.setattr(overlaps, "MANY", 1, raising=False)
+    found = overlaps.overlap_join(rows, rows, "id", "id", "lo", "hi", 10.0, [], 200, values={"length": "CAST(`end` - start AS INT)"})
+    assert found.columns == ["left_id", "right_id", "length"] and found.agg(F.sum("length")).first()[0] == 10_000 * sum(8 - abs(i - j) for i in range(6) for j in range(6))
+
+
 def test_many_small_keys_are_swept_together():
     """A sweep takes a batch's groups at once, however many, and a group that goes on over batches whole."""
     n = 5000
